@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.llm import chat, licenses, mixing, topk
+from basalt.llm import chat, langid, licenses, mixing, packing, quality, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,7 +10,11 @@ def queries() -> dict:
         "op1_chat_preferences": chat.op1_chat_preferences,
         "op2_top_k": topk.op2_top_k,
         "op3_license_digest": licenses.op3_license_digest,
+        "op4_packing": packing.op4_packing,
+        "op5_language_id": langid.op5_language_id,
+        "op6_quality": quality.op6_quality,
         "op8_mixing": mixing.op8_mixing,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
