@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.llm import chat, langid, licenses, mixing, packing, quality, topk, toxicity
+from basalt.llm import chat, jaccard, langid, licenses, mixing, packing, quality, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op5_language_id": langid.op5_language_id,
         "op6_quality": quality.op6_quality,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_mixing": mixing.op8_mixing,
+        "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
