@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from basalt.plans import operators
+
+QUERIES: dict = {**operators.QUERIES}
+ORACLES: dict = {**operators.ORACLES}
