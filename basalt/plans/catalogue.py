@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans import operators
+from basalt.plans import business, operators
 
-QUERIES: dict = {**operators.QUERIES}
-ORACLES: dict = {**operators.ORACLES}
+QUERIES: dict = {**business.QUERIES, **operators.QUERIES}
+ORACLES: dict = {**business.ORACLES, **operators.ORACLES}
