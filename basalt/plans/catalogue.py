@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans import business, operators
+from basalt.plans import business, gold_queries, operators, warehouse
 
-QUERIES: dict = {**business.QUERIES, **operators.QUERIES}
-ORACLES: dict = {**business.ORACLES, **operators.ORACLES}
+QUERIES: dict = {**business.QUERIES, **operators.QUERIES, **warehouse.QUERIES, **gold_queries.QUERIES}
+ORACLES: dict = {**business.ORACLES, **operators.ORACLES, **warehouse.ORACLES, **gold_queries.ORACLES}
