@@ -20,6 +20,7 @@ separately; an empty table gives an empty result; texts of any length are encode
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ STEP = 8
 DEPTH = 3
 END_ID = 1
 RANK_ROWS = 100_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
 
 
 # ---- encoding ----------------------------------------------------------------------------------
@@ -45,10 +46,13 @@ class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, word by word through a bounded cache.
 
     Words are cut at plain spaces and line feeds, where the tokenizer's own splitting always cuts
-    and drops the separator; anything else inside a word is left to the tokenizer.
+    and drops the separator. Words of Latin-1 letters, with plain punctuation behind, skip the
+    normaliser, which can only lower them, and go to the merge model at once; anything else is left
+    to the whole tokenizer.
     """
 
     _open: dict[str, Encoder] = {}
+    TAIL = ".,!?;:%&*#$|"
 
     def __init__(self, name: str):
         import os
@@ -59,7 +63,13 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         self.tok.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
+        self.merge = self.tok.model.tokenize
+        # bytes that are no printable Latin-1 characters stand in a byte-level vocabulary as 256, 257, ...
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.byte_level = {b: b if b in plain else next(rest) for b in range(256)}
+        self.fresh: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, name: str) -> Encoder:
@@ -67,20 +77,43 @@ class Encoder:
             cls._open[name] = cls(name)
         return cls._open[name]
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def word(self, w: str) -> bytes:
+        core = w.rstrip(self.TAIL)
+        if not core.isalpha():
+            return self.whole(w)
+        if core == w:
+            return self.letters(w)
+        ids, tail = self.fresh.get(core), self.fresh.get(w[len(core) :])
+        if ids is None:
+            ids = self.fresh[core] = self.letters(core)
+        if tail is None:
+            tail = self.fresh[w[len(core) :]] = self.whole(w[len(core) :])
+        return ids + tail
+
+    def letters(self, core: str) -> bytes:
+        low = core.lower()
+        if not low.isascii():
+            if max(core) >= "\u0100":
+                return self.whole(core)
+            low = low.encode().decode("latin-1").translate(self.byte_level)
+        return array("I", [t.id for t in self.merge(low)]).tobytes()
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > WORDS_KEPT:
-            self.cache = {"": b""}
+        if len(self.fresh) > WORDS_KEPT:
+            self.fresh, self.older = {"": b""}, self.fresh
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words).difference(self.cache))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.cache.__getitem__
+        fresh, older = self.fresh, self.older
+        for w in set().union(*words).difference(fresh):
+            got = older.get(w)
+            fresh[w] = self.word(w) if got is None else got
+        get = fresh.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
-def _encode(name: str, window: int, end_id: int, by_chars: int = 2_000_000):
+def _encode(name: str, window: int, end_id: int, by_chars: int = 1_000_000):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,15 +290,22 @@ def assign(pieces: DataFrame, *, keys: tuple[str, ...] = ("doc_id", "start"), le
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, step: int = STEP, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(pieces with their ids, placement): the placement has sequence_id and offset by
-    (doc_id, start, ids_crc32), where the checksum tells repeated documents' pieces apart."""
+    """(pieces, placement), both by ``piece``: the pieces hold ``ids`` (little-endian uint32), the
+    placement has sequence_id and offset, and the pieces' other columns but the ids."""
     work = scratch.Scratch(docs.sparkSession, "packing")
     pieces = encode_pieces(docs, id_col=id_col, text_col=text_col, window=window)
-    pieces = work.save(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
-    place = assign(pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens"), keys=("doc_id", "start", "ids_crc32"), window=window, step=step, depth=depth)
+    pieces = work.save(pieces.withColumns({"ids_crc32": F.crc32("ids"), "piece": F.monotonically_increasing_id()}), "pieces")
+    place = assign(pieces.drop("ids"), keys=("doc_id", "start", "ids_crc32", "piece"), window=window, step=step, depth=depth)
     return pieces, place
 
 
+def packed(docs: DataFrame, **options) -> DataFrame:
+    """The pieces with their ids and places: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+    pieces, place = pack(docs, **options)
+    out = place.join(pieces.select("piece", "ids"), "piece")
+    return out.select("doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "offset", "ids")
+
+
 def op4_packing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     _, place = pack(docs)
