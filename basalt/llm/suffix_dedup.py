@@ -38,7 +38,7 @@ from basalt.llm import scratch
 LENGTH = 400
 GRAM = 128
 BATCHES = 4
-HOT = 256
+HOT = 1024
 CHUNK = 1 << 20
 
 _U = np.uint64
@@ -276,20 +276,19 @@ def _split(lo: int, hi: int, ends: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _windows(length: int):
-    """(h1, h2, rid, lo, hi, n) of the distinct windows of each given run, with lo = hi; windows
-    that a run holds twice also come as stretches without fingerprints."""
+    """(h1, h2, rid, lo, hi, n) of the distinct windows of a batch of runs, with lo = hi; windows
+    that a batch holds twice also come as stretches without fingerprints."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = WindowFamily(length)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 h1, h2, k = family.windows([x.as_py() for x in part.column(3)])
                 rid, s, n = (np.repeat(part.column(i).to_numpy(), k) for i in range(3))
                 p = s + np.arange(len(s)) - np.repeat(np.cumsum(k) - k, k)
-                which = np.repeat(np.arange(len(k)), k)
-                order = np.lexsort((h2, h1, which))
-                same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (which[order[1:]] == which[order[:-1]])
+                order = np.lexsort((h2, h1))
+                same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
                 mark = np.zeros(len(p), dtype=bool)
                 mark[order[1:][same]] = True
                 mark[order[:-1][same]] = True
@@ -297,7 +296,7 @@ def _windows(length: int):
                 at_p = pa.array(p[one])
                 times = np.where(mark[one], np.maximum(n[one], 2), n[one])
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)[one]), pa.array(h2.view(np.int64)[one]), pa.array(rid[one]), at_p, at_p, pa.array(times)], WINDOW)
-                lo, hi = _intervals(mark)  # stretches do not run on into the next text below
+                lo, hi = _intervals(mark)
                 ends = np.cumsum(k)
                 cuts = [(a, b) for x, y in zip(lo, hi, strict=True) for a, b in _split(x, y, ends)]
                 if cuts:
@@ -371,11 +370,12 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     run = texts.filter("held is not null").select("rid", "text", F.explode("held").alias("c"))
     run = run.select("rid", F.col("c.s").alias("s"), F.col("c.n").alias("n"), F.expr(f"substring(text, cast(c.s as int) + 1, cast(c.e - c.s as int) + {length})").alias("text"), F.col("c.anchor").alias("anchor"), F.col("c.texts").alias("texts"))
     few = run.filter(F.col("texts") <= hot).repartition("anchor").select("rid", "s", "n", "text").mapInArrow(_settle(length), "rid long, lo long, hi long")
-    win = work.save(run.filter(F.col("texts") > hot).select("rid", "s", "n", "text").mapInArrow(_windows(length), "h1 long, h2 long, rid long, lo long, hi long, n long"), "windows")
+    win = work.save(run.filter(F.col("texts") > hot).select("rid", "s", "n", "text").repartition("rid", "s").mapInArrow(_windows(length), "h1 long, h2 long, rid long, lo long, hi long, n long"), "windows")
     twice = win.filter("h1 is not null").groupBy("h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("h1", "h2")
     many = win.join(twice, ["h1", "h2"]).select("rid", "lo", "hi").unionByName(win.filter("h1 is null").select("rid", "lo", "hi"))
-    starts = whole.select("rid", F.col("s").alias("lo"), F.col("e").alias("hi")).unionByName(few).unionByName(many)
-    lists = starts.join(open_.filter("open").select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    # runs settled by their windows are in rows with an open run; of the others only those rows count
+    kept = whole.select("rid", F.col("s").alias("lo"), F.col("e").alias("hi")).join(open_.filter("open").select("rid"), "rid", "left_semi")
+    lists = kept.unionByName(few).unionByName(many).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     part = texts.filter("open").select("rid", "text").join(lists, "rid").select("rid", "text", "starts")
     part = work.save(part.mapInArrow(_cut_out(length), "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>"), "parts")
     gone = open_.filter("not open").select("rid", F.lit(True).alias("gone"))
@@ -392,6 +392,42 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def _drop_spans():
+    """(row, text bytes, spans) to (row, text): what is left of each text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(1), batch.column(2), strict=True):
+                raw, left, at = x.as_py(), [], 0
+                for v in y.as_py():
+                    left.append(raw[at : v["start"]])
+                    at = v["stop"]
+                left.append(raw[at:])
+                out.append(b"".join(left).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+
+    return work
+
+
+def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The same rows and columns with repeated strings cut out of the texts.
+
+    Cuts are made between bytes; a character that a cut divides goes too. Every row stays, even one
+    of which nothing is left; ``chars_col`` follows a changed text.
+    """
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **options).filter("n_spans > 0")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    spans = spans.select(key("doc_id").alias("k"), "sha", "spans").dropDuplicates(["k", "sha"])
+    own = docs.select(F.struct("*").alias("row"), key(id_col).alias("k"), F.col(text_col).cast("binary").alias("b")).withColumn("sha", F.sha2("b", 256))
+    met = own.join(spans, ["k", "sha"], "left")
+    row = own.schema["row"].dataType.simpleString()
+    cut = met.filter("spans is not null").select("row", "b", "spans").mapInArrow(_drop_spans(), f"row {row}, text string")
+    kind = dict(docs.dtypes)
+    new = [F.col("text").alias(c) if c == text_col else F.char_length("text").cast(kind[c]).alias(c) if c == chars_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return met.filter("spans is null").select("row.*").unionByName(cut.select(*new))
+
+
 def op7_suffix_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeated_spans(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
