@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAINED = ("assistant",)
+MADE = ("prompt_turns", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask")
 
 
 def _body(t: Column) -> Column:
@@ -58,15 +59,17 @@ def format_preferences(pairs: DataFrame, trained: tuple[str, ...] = TRAINED) ->
     """Rows with arrays ``chosen`` and ``rejected`` of (role, text) to the formatted examples.
 
     Adds prompt_turns, prompt, chosen_completion, chosen_mask, rejected_completion, rejected_mask in
-    place of the two arrays; other columns stay.
+    place of the two arrays; other columns stay, but those named like one of these are replaced.
     """
+    kept = [c for c in pairs.columns if c not in ("chosen", "rejected", *MADE)]
+    p = pairs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("kept"), "chosen", "rejected")
     both = F.least(F.size("chosen"), F.size("rejected"))
-    apart = F.array_min(F.filter(F.sequence(F.lit(0), F.col("_both") - 1), lambda i: ~F.get("chosen", i).eqNullSafe(F.get("rejected", i))))
-    p = pairs.withColumn("_both", both).withColumn("_n", F.when(F.col("_both") <= 0, F.lit(0)).otherwise(F.coalesce(apart, F.col("_both"))))
-    rest = lambda c: F.slice(c, F.col("_n") + 1, F.greatest(F.size(c) - F.col("_n"), F.lit(0)))
-    keep = [c for c in pairs.columns if c not in ("chosen", "rejected")]
-    p = p.select(*keep, F.col("_n").alias("prompt_turns"), F.slice("chosen", 1, F.col("_n")).alias("_p"), rest("chosen").alias("_c"), rest("rejected").alias("_r"))
-    return p.select(*keep, "prompt_turns", render(F.col("_p")).alias("prompt"), render(F.col("_c")).alias("chosen_completion"), mask_spans(F.col("_c"), trained).alias("chosen_mask"), render(F.col("_r")).alias("rejected_completion"), mask_spans(F.col("_r"), trained).alias("rejected_mask"))
+    apart = F.array_min(F.filter(F.sequence(F.lit(0), F.col("both") - 1), lambda i: ~F.get("chosen", i).eqNullSafe(F.get("rejected", i))))
+    p = p.withColumn("both", both).withColumn("n", F.when(F.col("both") <= 0, F.lit(0)).otherwise(F.coalesce(apart, F.col("both"))))
+    rest = lambda c: F.slice(c, F.col("n") + 1, F.greatest(F.size(c) - F.col("n"), F.lit(0)))
+    p = p.select("kept", "n", F.slice("chosen", 1, F.col("n")).alias("p"), rest("chosen").alias("c"), rest("rejected").alias("r"))
+    values = (F.col("n"), render(F.col("p")), render(F.col("c")), mask_spans(F.col("c"), trained), render(F.col("r")), mask_spans(F.col("r"), trained))
+    return p.select(*[F.col(f"kept.`{c}`").alias(c) for c in kept], *[v.alias(name) for name, v in zip(MADE, values, strict=True)])
 
 
 def swapped_reply_pairs(turns: DataFrame) -> DataFrame:
