@@ -40,6 +40,8 @@ GRAM = 128
 BATCHES = 4
 HOT = 1024
 CHUNK = 1 << 20
+SLICE_BYTES = 300_000
+TASK_BYTES = 2_000_000
 
 _U = np.uint64
 
@@ -240,14 +242,27 @@ def _intervals(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1) - 1
 
 
+def _parts(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts (column 3) have about ``most`` bytes, one row at least: a window
+    takes many times the memory of the byte it starts at."""
+    size = [len(x.as_py()) for x in batch.column(3)]
+    at = total = 0
+    for i, n in enumerate(size):
+        if i > at and total + int(n) > most:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += int(n)
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def _settle(length: int):
     """Tasks over (rid, s, n, text) of runs, together by anchor, to repeated starts (rid, lo, hi)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, owners, counts = WindowFamily(length), [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _parts(batch):
                 counts.append(family.add([x.as_py() for x in part.column(3)]))
                 owners.append(np.column_stack([part.column(i).to_numpy() for i in range(3)]))
         for own, n, mark in zip(owners, counts, family.marked, strict=True):
@@ -282,8 +297,7 @@ def _windows(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = WindowFamily(length)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch):
                 h1, h2, k = family.windows([x.as_py() for x in part.column(3)])
                 rid, s, n = (np.repeat(part.column(i).to_numpy(), k) for i in range(3))
                 p = s + np.arange(len(s)) - np.repeat(np.cumsum(k) - k, k)
@@ -369,7 +383,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     work.drop(again)
     run = texts.filter("held is not null").select("rid", "text", F.explode("held").alias("c"))
     run = run.select("rid", F.col("c.s").alias("s"), F.col("c.n").alias("n"), F.expr(f"substring(text, cast(c.s as int) + 1, cast(c.e - c.s as int) + {length})").alias("text"), F.col("c.anchor").alias("anchor"), F.col("c.texts").alias("texts"))
-    few = run.filter(F.col("texts") <= hot).repartition("anchor").select("rid", "s", "n", "text").mapInArrow(_settle(length), "rid long, lo long, hi long")
+    held_bytes = texts.filter("held is not null").select(F.explode("held").alias("c")).filter(F.col("c.texts") <= hot).agg(F.sum(F.col("c.e") - F.col("c.s") + length)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held_bytes // TASK_BYTES)  # a task holds its texts' windows
+    few = run.filter(F.col("texts") <= hot).repartition(tasks, "anchor").select("rid", "s", "n", "text").mapInArrow(_settle(length), "rid long, lo long, hi long")
     win = work.save(run.filter(F.col("texts") > hot).select("rid", "s", "n", "text").repartition("rid", "s").mapInArrow(_windows(length), "h1 long, h2 long, rid long, lo long, hi long, n long"), "windows")
     twice = win.filter("h1 is not null").groupBy("h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("h1", "h2")
     many = win.join(twice, ["h1", "h2"]).select("rid", "lo", "hi").unionByName(win.filter("h1 is null").select("rid", "lo", "hi"))
