@@ -36,12 +36,25 @@ STEP = 8
 DEPTH = 3
 END_ID = 1
 RANK_ROWS = 100_000
-WORDS_KEPT = 120_000
+WORDS_KEPT = 200_000
 
 
 # ---- encoding ----------------------------------------------------------------------------------
 
 
+class Words(dict):
+    """Word to the bytes of its ids, made when first asked for; an older generation is looked up."""
+
+    def __init__(self, make, older: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.make, self.older = make, older
+
+    def __missing__(self, w: str) -> bytes:
+        got = self.older.get(w)
+        self[w] = got = self.make(w) if got is None else got
+        return got
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, word by word through a bounded cache.
 
@@ -68,8 +81,7 @@ class Encoder:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.byte_level = {b: b if b in plain else next(rest) for b in range(256)}
-        self.fresh: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.fresh = Words(self.word, {})
 
     @classmethod
     def of(cls, name: str) -> Encoder:
@@ -103,14 +115,10 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.fresh) > WORDS_KEPT:
-            self.fresh, self.older = {"": b""}, self.fresh
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh, older = self.fresh, self.older
-        for w in set().union(*words).difference(fresh):
-            got = older.get(w)
-            fresh[w] = self.word(w) if got is None else got
-        get = fresh.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            self.fresh.older = {}  # two generations at most
+            self.fresh = Words(self.word, self.fresh)
+        get = self.fresh.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def _encode(name: str, window: int, end_id: int, by_chars: int = 1_000_000):

@@ -192,6 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train_row
     kept = np.arange(len(rows)) % 5 == 0
     if len(set(y[~kept].tolist())) < 2 or len(set(y[kept].tolist())) < 2:
         kept[:] = False
+    del got
+    scratch.release()
     w, b = _logistic([r for r, k in zip(rows, kept, strict=True) if not k], y[~kept], l2, steps)
     a, c = 1.0, 0.0
     if kept.any():

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -68,8 +69,15 @@ class Scratch:
             remove(self.spark, path)
 
 
+#: Rows and bytes of an Arrow batch: texts can be long, and a batch is held twice on its way.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not have it installed."""
+    """Send this package to the executors, which need not have it installed, and bound the size of
+    the Arrow batches of this session."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -83,3 +91,8 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("basalt", os.path.relpath(full, top)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def release() -> None:
+    """Give back what Arrow keeps after a fetched table is done with."""
+    pa.default_memory_pool().release_unused()

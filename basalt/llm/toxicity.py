@@ -153,6 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train_rows:
     x = np.zeros((len(lists), len(pick)))
     ok = place[col] >= 0
     x[owner[ok], place[col[ok]]] = 1
+    del got, lists
+    scratch.release()
     w, cuts = _ordinal(x, graded(y, x.sum(axis=1)), l2, steps)
     return Model([int(f) for f in names[pick]], w, cuts)
 
