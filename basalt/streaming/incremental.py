@@ -1,4 +1,4 @@
-"""Streaming forms of the batch loads (an extension: the batch forms are the reference point)."""
+"""Streaming forms of the batch loads (an extension; the batch forms come first)."""
 
 from __future__ import annotations
 
