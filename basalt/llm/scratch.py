@@ -1,7 +1,7 @@
 """Where jobs keep intermediate tables, and how workers get this package.
 
 Intermediate tables are Parquet in the shared folder named by ``spark.checkpoint.dir``, so any
-executor can be lost. Only where that setting is absent (tests, a laptop) is a folder made here.
+executor can be lost. Where that setting is absent (tests, a laptop) they go to the warehouse.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _folders:
         root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="basalt-")
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
         _folders[app] = f"{root.rstrip('/')}/basalt-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove_quietly, spark, _folders[app])
     return _folders[app]

@@ -1,23 +1,24 @@
-"""Exact substring deduplication with a logarithmic family of suffix arrays.
+"""Exact substring deduplication with logarithmic families of suffix arrays.
 
 A byte is removed if a string of ``length`` bytes around it starts at least twice in the corpus.
 
-Suffixes are sampled so that every window of ``length`` bytes holds a sampled one: the anchor of a
-window is the ``GRAM``-byte string with the least fingerprint in it, and neighbouring windows with
-one anchor form a run. Equal windows have equal anchors. Arrays are ordered by fingerprints of the
-(cut) suffixes instead of their bytes: a scan for matches only needs equal suffixes side by side.
-
-1. :class:`IndexFamily` finds the anchors that occur more than once. Documents arrive in batches;
-   a batch gets its suffix array (anchors, sorted, in the shared folder), is merge-scanned against
-   every level, and joins the levels, equal-sized levels being merged geometrically.
-2. Runs with repeated anchors are settled exactly. A run whose whole text (its windows together)
-   occurs twice is repeated. The texts of the other runs, one for each distinct text, go to tasks by
-   anchor; :class:`WindowFamily` is there the same index over the suffixes of every position, cut
-   at ``length``. Anchors with more than ``HOT`` such texts (a passage in many documents) are settled
-   by counting windows in a plain aggregation instead, which no single task has to hold.
-
-Fingerprints of whole matches have 128 bits. The text is shuffled once, and only rows with a
-repeated anchor are kept from that.
+1. Scan. Suffixes are grouped by content so that equal strings meet: the anchor of a window (the
+   shortest length asked for) is the ``GRAM``-byte string with the least fingerprint in it, and
+   neighbouring windows with one anchor form a run. Equal windows have equal anchors, so only runs
+   with an anchor met twice go on. The context of a run is its text to the end of the longest match
+   asked for behind its last window. Contexts that are equal as wholes are counted, not gathered:
+   all their windows are repeated, and one of them stands for them below.
+2. Match. The other contexts go to tasks by anchor. There each batch gets a suffix array
+   (:class:`SuffixFamily`: the suffixes of its windows, cut at the longest length, ordered by their
+   bytes), is merge-scanned against every level of the family, the common prefixes of neighbours
+   giving the longest match of every suffix, and becomes a level; levels of about equal size merge
+   geometrically.
+3. Anchors with more than ``HOT`` distinct contexts (a passage in many documents) would make one
+   task hold them all; their windows are matched by a plain aggregation instead, on 128 bits.
+
+One pass serves several lengths, since a match of the longest is one of the shortest. Joins on
+anchors spread frequent ones over salts. The text is shuffled once, and rows that are cut in part a
+second time.
 
 Defined results: null text is empty; texts shorter than ``length`` keep everything; repeated rows
 count as other places, so both lose what they share; one row per input row, null ids included.
@@ -30,18 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm import scratch
+from basalt.llm.skew import spread_join
 
 LENGTH = 400
-GRAM = 128
-BATCHES = 4
+#: A passage: over fifty words, found by strings that fifty words of three letters fill.
+PASSAGE_BYTES = 200
+PASSAGE_WORDS = 51
+GRAM = 40
 HOT = 1024
 CHUNK = 1 << 20
 SLICE_BYTES = 300_000
-TASK_BYTES = 2_000_000
+TASK_BYTES = 1_500_000
+LONG_RUN = 1000
 
 _U = np.uint64
 
@@ -89,15 +95,19 @@ def _hashes() -> tuple[Rolling, Rolling]:
     return Rolling(0x9E3779B97F4A7C15, 1), Rolling(0xC2B2AE3D27D4EB4F, 2)
 
 
-def runs(raw: bytes, one: Rolling, two: Rolling, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """(anchor, first start, last start, fingerprint, fingerprint, times) of the runs of windows;
-    times is 2 where the anchor repeats inside the run, so that windows of it may be equal."""
+def runs(raw: bytes, one: Rolling, two: Rolling, least: int = LENGTH, cut: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
+    """(anchor, first start, last start, fingerprint, fingerprint, times) of the runs of windows of
+    ``least`` bytes; the 128-bit fingerprint is of the context, which reaches ``cut`` bytes behind
+    the last start or to the end of the text; times is 2 where the anchor repeats inside the run, so
+    that windows of it may be equal."""
     out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-    w = length - gram + 1
-    for base in range(0, len(raw) - length + 1, CHUNK):
-        b = np.frombuffer(raw[base : base + CHUNK + length - 1], dtype=np.uint8)
+    w = least - gram + 1
+    for base in range(0, len(raw) - least + 1, CHUNK):
+        b = np.frombuffer(raw[base : base + CHUNK + cut - 1], dtype=np.uint8)
         p, q = one.prefix(b), two.prefix(b)
-        g = _mix((p[gram:] - p[:-gram]) * one.up[: len(b) - gram + 1])
+        count = min(CHUNK, len(raw) - least + 1 - base)
+        grams = count + least - gram
+        g = _mix((p[gram : gram + grams] - p[:grams]) * one.up[:grams])
         span = 1
         m = g
         while 2 * span <= w:
@@ -106,13 +116,18 @@ def runs(raw: bytes, one: Rolling, two: Rolling, length: int = LENGTH, gram: int
         if span < w:
             m = np.minimum(m[: len(m) - (w - span)], m[w - span :])
         change = m[1:] != m[:-1]
-        cut = np.flatnonzero(change) + 1
-        s = np.concatenate([[0], cut])
-        e = np.concatenate([cut, [len(m)]]) - 1
+        at = np.flatnonzero(change) + 1
+        s = np.concatenate([[0], at])
+        e = np.concatenate([at, [len(m)]]) - 1
         # the anchor leaves the window and an equal one follows: the run may repeat itself
         passed = np.concatenate([[0], np.cumsum(~change & (g[: len(m) - 1] == m[:-1]))])
         times = 1 + (passed[e] > passed[s])
-        for k, x in enumerate((m[s], s + base, e + base, one.of(p, s, e + length), two.of(q, s, e + length), times)):
+        stop = np.minimum(e + cut, len(b))
+        h1, h2 = one.of(p, s, stop), two.of(q, s, stop)
+        for k in np.flatnonzero(stop - s > LONG_RUN):  # polynomials modulo 2**64 are only good for short strings
+            wide = xxhash.xxh3_128_intdigest(b[s[k] : stop[k]].tobytes())
+            h1[k], h2[k] = wide >> 64, wide & 0xFFFFFFFFFFFFFFFF
+        for k, x in enumerate((m[s], s + base, e + base, h1, h2, times)):
             out[k].append(x.astype(_U).view(np.int64) if k in (0, 3, 4) else x.astype(np.int64))
     return [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out]
 
@@ -121,119 +136,99 @@ RUN = "array<struct<anchor:bigint,s:bigint,e:bigint,h1:bigint,h2:bigint,times:bi
 _RUN = pa.struct([(n, pa.int64()) for n in ("anchor", "s", "e", "h1", "h2", "times")])
 
 
-def _scan(length: int, gram: int):
+def _scan(least: int, cut: int, gram: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sha, size, cols, ends = [], [], [[] for _ in range(6)], [0]
+                sha, size, words, cols, ends = [], [], [], [[] for _ in range(6)], [0]
                 for x in part.column(1):
                     raw = x.as_py() or b""
                     sha.append(hashlib.sha256(raw).hexdigest())
                     size.append(len(raw))
-                    got = runs(raw, one, two, length, gram)
+                    words.append(len(raw.split()))
+                    got = runs(raw, one, two, least, cut, gram)
                     for c, g in zip(cols, got, strict=True):
                         c.append(g)
                     ends.append(ends[-1] + len(got[0]))
                 flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in cols], fields=list(_RUN))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sha), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "sha", "n_bytes", "runs"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sha), pa.array(size, pa.int64()), pa.array(words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+                    ["doc_id", "sha", "n_bytes", "n_words", "runs"],
+                )
 
     return work
 
 
-class IndexFamily:
-    """Levels of suffix arrays in the shared folder; each level has its distinct keys, sorted."""
-
-    def __init__(self, work: scratch.Scratch, key: str = "anchor"):
-        self.work, self.key = work, key
-        self.levels: list[tuple[int, DataFrame]] = []  # (batches it stands for, keys)
-        self.hits: list[DataFrame] = []
-
-    def add(self, batch: DataFrame) -> None:
-        """Merge-scan a batch of (key, times) against all levels, then keep it as the newest level."""
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * n, self.work.save(a.unionByName(b).distinct().sortWithinPartitions(self.key), "level")))
-            self.work.drop(a)
-            self.work.drop(b)
-        keys = batch.groupBy(self.key).agg(F.sum("times").alias("n"))
-        array = self.work.save(keys.sortWithinPartitions(self.key), "array")
-        hits = array.filter("n > 1").select(self.key)
-        for _, level in self.levels:
-            hits = hits.unionByName(array.select(self.key).join(level, self.key, "left_semi"))
-        self.hits.append(self.work.save(hits.distinct(), "hits"))
-        only = array.select(self.key)
-        only._basalt_path = array._basalt_path
-        self.levels.append((1, only))
-
-    def repeated(self) -> DataFrame:
-        """Keys met at least twice."""
-        out = self.hits[0]
-        for h in self.hits[1:]:
-            out = out.unionByName(h)
-        return out.distinct()
-
-
-class WindowFamily:
-    """The same family inside a task: every suffix of the given texts, cut at ``length``."""
-
-    def __init__(self, length: int = LENGTH):
-        self.length = length
-        self.one, self.two = _hashes()
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.marked: list[np.ndarray] = []  # by window, in order of arrival
-        self.total = 0
-
-    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprints of all windows, and how many each text has."""
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+class SuffixFamily:
+    """Levels of suffix arrays: suffixes cut at ``cut`` bytes, ordered by their bytes.
+
+    ``longest[i]`` is the longest match (up to ``cut``) of every suffix of the i-th batch with any
+    other suffix added before or after. A suffix is held as its bytes plus one, padded with zeros, so
+    that numpy's order of byte strings is the order of the texts (UTF-8 has no byte 255).
+    """
+
+    def __init__(self, cut: int = LENGTH):
+        self.cut = cut
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (suffixes in order, references)
+        self.longest = np.zeros(0, dtype=np.int32)
+        self.batches: list[slice] = []
+
+    def _suffixes(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """The first ``counts[i]`` suffixes of each text."""
         size = np.array([len(t) for t in texts], dtype=np.int64)
-        n = np.maximum(size - self.length + 1, 0)
-        at = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.one.of(self.one.prefix(data), at, at + self.length), self.two.of(self.two.prefix(data), at, at + self.length), n
-
-    def add(self, texts: list[bytes]) -> np.ndarray:
-        """Index a batch; returns the windows of each text."""
-        h1, h2, n = self.windows(texts)
-        ref = np.arange(self.total, self.total + len(h1))
-        self.total += len(h1)
-        mark = np.zeros(len(h1), dtype=bool)
-        self.marked.append(mark)
-        order = np.lexsort((h2, h1))
-        a, b, r = h1[order], h2[order], ref[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        mark[order[1:][same]] = True
-        mark[order[:-1][same]] = True
-        first = np.concatenate([[True], ~same]) if len(a) else np.zeros(0, dtype=bool)
-        a, b, r = a[first], b[first], r[first]  # distinct, each with its first place
-        group = np.cumsum(first) - 1
-        fresh = np.ones(len(a), dtype=bool)
-        for la, lb, lr in self.levels:
-            at = np.searchsorted(la, a)
-            for shift in range(2):  # two suffixes may share the first 64 bits
-                t = at + shift
-                ok = t < len(la)
-                hit = np.zeros(len(a), dtype=bool)
-                hit[ok] = (la[t[ok]] == a[ok]) & (lb[t[ok]] == b[ok])
-                if hit.any():
-                    self._mark(lr[t[hit]])
-                    mark[order[hit[group]]] = True
-                    fresh &= ~hit
-        level = (a[fresh], b[fresh], r[fresh])
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            old = self.levels.pop()
-            x, y, z = (np.concatenate(p) for p in zip(old, level, strict=True))
-            o = np.lexsort((y, x))
-            level = (x[o], y[o], z[o])
-        self.levels.append(level)
-        return n
-
-    def _mark(self, refs: np.ndarray) -> None:
-        starts = np.cumsum([0] + [len(m) for m in self.marked])
-        which = np.searchsorted(starts, refs, side="right") - 1
-        for k in np.unique(which):
-            self.marked[k][refs[which == k] - starts[k]] = True
+        pad = b"\xff" * self.cut
+        data = np.frombuffer(pad.join([*texts, b""]), dtype=np.uint8) + np.uint8(1)  # 255 + 1 is 0
+        first = np.cumsum(size + self.cut) - (size + self.cut)
+        at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        if not len(at):
+            return np.zeros(0, dtype=f"S{self.cut}")
+        return np.lib.stride_tricks.sliding_window_view(data, self.cut)[at].view(f"S{self.cut}").ravel()
+
+    def _scan(self, keys: np.ndarray, refs: np.ndarray) -> np.ndarray:
+        """Common prefixes of neighbours of an ordered array; returns where a new suffix begins."""
+        fresh = np.ones(len(keys), dtype=bool)
+        rows = keys.view(np.uint8).reshape(-1, self.cut)
+        for lo in range(0, len(keys) - 1, 16384):
+            a, b = rows[lo : lo + 16384], rows[lo + 1 : lo + 16385]
+            differ = (a[: len(b)] != b) | (b == 0)
+            common = differ.argmax(axis=1)
+            common[~differ[np.arange(len(b)), common]] = self.cut
+            x, y = refs[lo : lo + len(b)], refs[lo + 1 : lo + 1 + len(b)]
+            for r in (x, y):  # no reference is met twice in an array
+                self.longest[r] = np.maximum(self.longest[r], common)
+            fresh[lo + 1 : lo + 1 + len(b)] = keys[lo : lo + len(b)] != keys[lo + 1 : lo + 1 + len(b)]
+        return fresh
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Two ordered arrays as one."""
+        at = np.searchsorted(a[0], b[0], side="right") + np.arange(len(b[0]))
+        keys = np.empty(len(a[0]) + len(b[0]), dtype=a[0].dtype)
+        refs = np.empty(len(keys), dtype=np.int64)
+        old = np.ones(len(keys), dtype=bool)
+        old[at] = False
+        keys[at], refs[at], keys[old], refs[old] = *b, *a
+        return keys, refs
+
+    def add(self, texts: list[bytes], counts: np.ndarray) -> None:
+        """Index the first ``counts[i]`` suffixes of each text as a new batch."""
+        keys = self._suffixes(texts, counts)
+        refs = np.arange(len(self.longest), len(self.longest) + len(keys))
+        self.batches.append(slice(len(self.longest), len(self.longest) + len(keys)))
+        self.longest = np.concatenate([self.longest, np.zeros(len(keys), dtype=np.int32)])
+        order = np.argsort(keys, kind="stable")
+        keys, refs = keys[order], refs[order]
+        fresh = self._scan(keys, refs)
+        new = keys[fresh], refs[fresh]  # of equal suffixes one; all of them are matched in full
+        for level in self.levels:
+            self._scan(*self._merged(level, new))
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
+            keys, refs = self._merged(self.levels.pop(), new)
+            fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
+            new = keys[fresh], refs[fresh]
+        self.levels.append(new)
 
 
 def _intervals(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,9 +238,9 @@ def _intervals(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts (column 3) have about ``most`` bytes, one row at least: a window
-    takes many times the memory of the byte it starts at."""
-    size = [len(x.as_py()) for x in batch.column(3)]
+    """Slices of a batch of contexts (rid, s, e, n, text) whose texts have about ``most`` bytes, one
+    row at least: a window takes many times the memory of the byte it starts at."""
+    size = [len(x.as_py()) for x in batch.column(4)]
     at = total = 0
     for i, n in enumerate(size):
         if i > at and total + int(n) > most:
@@ -256,194 +251,289 @@ def _parts(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(at)
 
 
-def _settle(length: int):
-    """Tasks over (rid, s, n, text) of runs, together by anchor, to repeated starts (rid, lo, hi)."""
+START = "rid long, len long, lo long, hi long"
+
+
+def _settle(lengths: tuple[int, ...], cut: int):
+    """Tasks over contexts, together by anchor, to repeated starts (rid, len, lo, hi)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, owners, counts = WindowFamily(length), [], []
+        family, owners = SuffixFamily(cut), []
         for batch in batches:
             for part in _parts(batch):
-                counts.append(family.add([x.as_py() for x in part.column(3)]))
-                owners.append(np.column_stack([part.column(i).to_numpy() for i in range(3)]))
-        for own, n, mark in zip(owners, counts, family.marked, strict=True):
-            ends = np.cumsum(n)
-            rid, lo, hi = [], [], []
-            for (r, s, times), e, k in zip(own, ends, n, strict=True):
-                if times == 1:  # others are repeated as wholes
-                    a, b = _intervals(mark[e - k : e])
-                    rid += [r] * len(a)
-                    lo += (a + s).tolist()
-                    hi += (b + s).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rid, lo, hi)], ["rid", "lo", "hi"])
+                own = np.column_stack([part.column(i).to_numpy() for i in range(4)])
+                family.add([x.as_py() for x in part.column(4)], own[:, 2] - own[:, 1] + 1)
+                owners.append(own)
+        for own, at in zip(owners, family.batches, strict=True):
+            longest = family.longest[at]
+            count = own[:, 2] - own[:, 1] + 1
+            first = np.cumsum(count) - count
+            row = np.repeat(np.arange(len(own)), count)
+            single = own[row, 3] == 1  # others are repeated as wholes
+            for length in lengths:
+                a, b = _intervals((longest >= length) & single)
+                cuts = [(x, y) for lo, hi in zip(a.tolist(), b.tolist(), strict=True) for x, y in _split(lo, hi, first + count)]
+                if cuts:
+                    lo, hi = np.array(cuts).T
+                    r = row[lo]
+                    move = own[r, 1] - first[r]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (own[r, 0], np.full(len(r), length), lo + move, hi + move)], ["rid", "len", "lo", "hi"])
 
     return work
 
 
-WINDOW = ["h1", "h2", "rid", "lo", "hi", "n"]
+WINDOW = "h1 long, h2 long, rid long, len long, lo long, hi long, n long"
 
 
 def _split(lo: int, hi: int, ends: np.ndarray) -> Iterator[tuple[int, int]]:
     """[lo, hi] cut where texts end (``ends`` exclusive)."""
     for e in ends[np.searchsorted(ends, lo, side="right") : np.searchsorted(ends, hi, side="right")]:
-        yield lo, int(e) - 1
-        lo = int(e)
+        if e > lo:  # a text may have no window
+            yield lo, int(e) - 1
+            lo = int(e)
     yield lo, hi
 
 
-def _windows(length: int):
-    """(h1, h2, rid, lo, hi, n) of the distinct windows of a batch of runs, with lo = hi; windows
-    that a batch holds twice also come as stretches without fingerprints."""
+def _windows(lengths: tuple[int, ...]):
+    """The distinct windows of a batch of contexts, with lo = hi; windows that a batch holds twice
+    also come as stretches without fingerprints."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = WindowFamily(length)
+        one, two = _hashes()
         for batch in batches:
             for part in _parts(batch):
-                h1, h2, k = family.windows([x.as_py() for x in part.column(3)])
-                rid, s, n = (np.repeat(part.column(i).to_numpy(), k) for i in range(3))
-                p = s + np.arange(len(s)) - np.repeat(np.cumsum(k) - k, k)
-                order = np.lexsort((h2, h1))
-                same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-                mark = np.zeros(len(p), dtype=bool)
-                mark[order[1:][same]] = True
-                mark[order[:-1][same]] = True
-                one = order[np.concatenate([[True], ~same])] if len(order) else order
-                at_p = pa.array(p[one])
-                times = np.where(mark[one], np.maximum(n[one], 2), n[one])
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)[one]), pa.array(h2.view(np.int64)[one]), pa.array(rid[one]), at_p, at_p, pa.array(times)], WINDOW)
-                lo, hi = _intervals(mark)
-                ends = np.cumsum(k)
-                cuts = [(a, b) for x, y in zip(lo, hi, strict=True) for a, b in _split(x, y, ends)]
-                if cuts:
-                    a, b = np.array(cuts).T
-                    none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(rid[a]), pa.array(p[a]), pa.array(p[b]), pa.array(np.full(len(a), 2))], WINDOW)
+                texts = [x.as_py() for x in part.column(4)]
+                data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+                size = np.array([len(t) for t in texts], dtype=np.int64)
+                first = np.cumsum(size) - size
+                p, q = one.prefix(data), two.prefix(data)
+                cols = [part.column(i).to_numpy() for i in range(4)]
+                for length in lengths:
+                    k = np.clip(np.minimum(cols[2] - cols[1] + 1, size - length + 1), 0, None)
+                    inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    at = np.repeat(first, k) + inside
+                    h1, h2 = one.of(p, at, at + length), two.of(q, at, at + length)
+                    rid, s, n = (np.repeat(cols[i], k) for i in (0, 1, 3))
+                    pos = s + inside
+                    order = np.lexsort((h2, h1))
+                    same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+                    mark = np.zeros(len(pos), dtype=bool)
+                    mark[order[1:][same]] = True
+                    mark[order[:-1][same]] = True
+                    keep = order[np.concatenate([[True], ~same])] if len(order) else order
+                    at_p = pa.array(pos[keep])
+                    times = np.where(mark[keep], np.maximum(n[keep], 2), n[keep])
+                    yield _named([pa.array(h1.view(np.int64)[keep]), pa.array(h2.view(np.int64)[keep]), pa.array(rid[keep]), pa.array(np.full(len(keep), length)), at_p, at_p, pa.array(times)])
+                    lo, hi = _intervals(mark)
+                    cuts = [(a, b) for x, y in zip(lo.tolist(), hi.tolist(), strict=True) for a, b in _split(x, y, np.cumsum(k))]
+                    if cuts:
+                        a, b = np.array(cuts).T
+                        none = pa.nulls(len(a), pa.int64())
+                        yield _named([none, none, pa.array(rid[a]), pa.array(np.full(len(a), length)), pa.array(pos[a]), pa.array(pos[b]), pa.array(np.full(len(a), 2))])
 
     return work
 
 
-def _cut_out(length: int):
-    """(rid, text bytes, repeated starts) to (rid, n_removed, n_spans, kept_sha256, spans)."""
+def _named(cols: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(cols, ["h1", "h2", "rid", "len", "lo", "hi", "n"])
+
+
+def covered(starts: list, length: int, size: int) -> list[list[int]]:
+    """Maximal [start, stop) stretches of bytes under windows of ``length``; starts are (len, lo, hi),
+    those of len 0 being repeated at any length."""
+    spans: list[list[int]] = []
+    for lo, hi in sorted((lo, min(hi, size - length) + length) for n, lo, hi in starts if n in (0, length)):
+        if hi - lo < length:
+            continue
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], hi)
+        else:
+            spans.append([lo, hi])
+    return spans
+
+
+def cut_out(raw: bytes, spans: list[list[int]]) -> bytes:
+    left, at = [], 0
+    for lo, hi in spans:
+        left.append(raw[at:lo])
+        at = hi
+    return b"".join([*left, raw[at:]])
+
+
+def long_enough(raw: bytes, spans: list[list[int]], min_words: int) -> list[list[int]]:
+    """The stretches with at least so many words."""
+    return [s for s in spans if len(raw[s[0] : s[1]].split()) >= min_words] if min_words else spans
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+SPANS = "array<struct<start:bigint,stop:bigint>>"
+
+
+def _cut_spans(lengths: tuple[int, ...], min_words: tuple[int, ...]):
+    """(rid, text bytes, repeated starts) to (rid, n_removed, n_spans, kept_sha256, spans, also): the
+    stretches of the first length and how many bytes those of the others cover."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, count, sha, lists = [], [], [], []
+            removed, count, sha, lists, also = [], [], [], [], []
             for x, y in zip(batch.column(1), batch.column(2), strict=True):
-                raw, spans = x.as_py() or b"", []
-                for lo, hi in sorted((v["lo"], v["hi"] + length) for v in y.as_py() or []):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi)
-                    else:
-                        spans.append([lo, hi])
-                left, at = hashlib.sha256(), 0
-                for lo, hi in spans:
-                    left.update(raw[at:lo])
-                    at = hi
-                left.update(raw[at:])
+                raw = x.as_py() or b""
+                starts = [(v["len"], v["lo"], v["hi"]) for v in y.as_py() or []]
+                each = [long_enough(raw, covered(starts, n, len(raw)), k) for n, k in zip(lengths, min_words, strict=True)]
+                spans = each[0]
                 removed.append(sum(h - lo for lo, h in spans))
                 count.append(len(spans))
-                sha.append(left.hexdigest())
+                sha.append(hashlib.sha256(cut_out(raw, spans)).hexdigest())
                 lists.append([{"start": lo, "stop": h} for lo, h in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["rid", "n_removed", "n_spans", "kept_sha256", "spans"])
+                also.append([sum(h - lo for lo, h in s) for s in each[1:]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(lists, _SPANS), pa.array(also, pa.list_(pa.int64()))],
+                ["rid", "n_removed", "n_spans", "kept_sha256", "spans", "also"],
+            )
 
     return work
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges
-    removed, half open) and sha, the digest of its whole text."""
-    spark: SparkSession = docs.sparkSession
-    scratch.ship(spark)
-    work = scratch.Scratch(spark, "suffix")
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    d = src.mapInArrow(_scan(length, gram), f"doc_id {kind}, sha string, n_bytes long, runs {RUN}")
-    d = work.save(d.withColumn("rid", F.monotonically_increasing_id()), "docs")
-    entries = d.select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
-    family = IndexFamily(work)
-    for b in range(batches):
-        family.add(entries.filter(F.pmod(F.xxhash64("rid"), F.lit(batches)) == b).select("anchor", "times"))
-    again = work.save(family.repeated(), "again")
-    flagged = entries.join(again, "anchor")
-    same = flagged.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rep"))
-    same = work.save(same, "same")
-    ragged = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("least")).filter("least = 1")
-    status = same.join(ragged.select("anchor", "texts"), "anchor", "left")
-    status = work.save(flagged.join(status, ["anchor", "h1", "h2"]).drop("h1", "h2"), "status")
-    whole = status.filter("n > 1")
-    contexts = status.filter("texts is not null and (n = 1 or rid = rep)")
-    # rows that need their text: not repeated as a whole, or holding a run that others are held against
-    each = whole.groupBy("rid").agg(F.count(F.lit(1)).alias("done"))
-    touched = status.select("rid").distinct().join(each, "rid", "left").join(d.select("rid", "doc_id", "sha", F.size("runs").alias("n_runs")), "rid")
-    open_ = touched.select("rid", "doc_id", "sha", (F.coalesce("done", F.lit(0)) < F.col("n_runs")).alias("open"))
-    held = contexts.groupBy("rid").agg(F.collect_list(F.struct("anchor", "s", "e", "n", "texts")).alias("held"))
-    wanted = open_.join(held, "rid", "left").filter("open or held is not null")
-    keyed = src.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("k"), F.sha2("text", 256).alias("sha"), "text")
-    wanted = wanted.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("k"), "sha", "rid", "open", "held").dropDuplicates(["k", "sha"])
-    texts = work.save(keyed.join(wanted, ["k", "sha"]).drop("k", "sha"), "texts")
-    work.drop(again)
-    run = texts.filter("held is not null").select("rid", "text", F.explode("held").alias("c"))
-    run = run.select("rid", F.col("c.s").alias("s"), F.col("c.n").alias("n"), F.expr(f"substring(text, cast(c.s as int) + 1, cast(c.e - c.s as int) + {length})").alias("text"), F.col("c.anchor").alias("anchor"), F.col("c.texts").alias("texts"))
-    held_bytes = texts.filter("held is not null").select(F.explode("held").alias("c")).filter(F.col("c.texts") <= hot).agg(F.sum(F.col("c.e") - F.col("c.s") + length)).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held_bytes // TASK_BYTES)  # a task holds its texts' windows
-    few = run.filter(F.col("texts") <= hot).repartition(tasks, "anchor").select("rid", "s", "n", "text").mapInArrow(_settle(length), "rid long, lo long, hi long")
-    win = work.save(run.filter(F.col("texts") > hot).select("rid", "s", "n", "text").repartition("rid", "s").mapInArrow(_windows(length), "h1 long, h2 long, rid long, lo long, hi long, n long"), "windows")
-    twice = win.filter("h1 is not null").groupBy("h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("h1", "h2")
-    many = win.join(twice, ["h1", "h2"]).select("rid", "lo", "hi").unionByName(win.filter("h1 is null").select("rid", "lo", "hi"))
-    # runs settled by their windows are in rows with an open run; of the others only those rows count
-    kept = whole.select("rid", F.col("s").alias("lo"), F.col("e").alias("hi")).join(open_.filter("open").select("rid"), "rid", "left_semi")
-    lists = kept.unionByName(few).unionByName(many).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    part = texts.filter("open").select("rid", "text").join(lists, "rid").select("rid", "text", "starts")
-    part = work.save(part.mapInArrow(_cut_out(length), "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>"), "parts")
-    gone = open_.filter("not open").select("rid", F.lit(True).alias("gone"))
-    out = d.drop("runs").join(part, "rid", "left").join(gone, "rid", "left")
-    all_ = F.coalesce("gone", F.lit(False))
-    nothing = hashlib.sha256(b"").hexdigest()
-    zero = F.lit(0).cast("long")
-    return out.select(
-        "doc_id", "n_bytes", "sha",
-        F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(all_, zero + 1).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.when(all_, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(all_, F.array(F.struct(zero.alias("start"), F.col("n_bytes").alias("stop")))).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"))).alias("spans"),
-    )
-
-
-def _drop_spans():
-    """(row, text bytes, spans) to (row, text): what is left of each text."""
+def _cut_texts(length: int, min_words: int):
+    """(row, text bytes, repeated starts) to (row, changed, text): what is left of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, changed = [], []
             for x, y in zip(batch.column(1), batch.column(2), strict=True):
-                raw, left, at = x.as_py(), [], 0
-                for v in y.as_py():
-                    left.append(raw[at : v["start"]])
-                    at = v["stop"]
-                left.append(raw[at:])
-                out.append(b"".join(left).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+                raw = x.as_py()
+                spans = long_enough(raw, covered([(v["len"], v["lo"], v["hi"]) for v in y.as_py() or []], length, len(raw)), min_words)
+                changed.append(bool(spans))
+                out.append(cut_out(raw, spans).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(changed, pa.bool_()), pa.array(out, pa.string())], ["row", "changed", "text"])
 
     return work
 
 
-def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
-    """The same rows and columns with repeated strings cut out of the texts.
+class Repeats:
+    """The repeated starts of one table, and the rows that need their text."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, lengths: tuple[int, ...], gram: int, hot: int):
+        spark: SparkSession = docs.sparkSession
+        scratch.ship(spark)
+        self.spark, self.work = spark, scratch.Scratch(spark, "suffix")
+        self.lengths, self.least, self.cut, self.hot = lengths, min(lengths), max(lengths), hot
+        kind = docs.schema[id_col].dataType.simpleString()
+        src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+        d = src.mapInArrow(_scan(self.least, self.cut, gram), f"doc_id {kind}, sha string, n_bytes long, n_words long, runs {RUN}")
+        self.docs = self.work.save(d.withColumn("rid", F.monotonically_increasing_id()), "docs")
+        self._status()
+
+    def _status(self) -> None:
+        """Runs with a repeated anchor: n contexts are equal to a run's own, ``texts`` is set where
+        some context of the anchor is met once."""
+        work, d = self.work, self.docs
+        entries = d.select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
+        again = work.save(entries.groupBy("anchor").agg(F.sum("times").alias("met")).filter("met > 1"), "again")
+        flagged = work.save(spread_join(entries.drop("times"), again, ["anchor"], "met").drop("met"), "flagged")
+        same = work.save(flagged.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rep")), "same")
+        ragged = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("least"), F.sum("n").alias("met")).filter("least = 1")
+        ragged = work.save(ragged.select("anchor", "texts", "met"), "ragged")
+        own = spread_join(flagged, same, ["anchor", "h1", "h2"], "n").drop("h1", "h2")
+        self.status = work.save(spread_join(own, ragged, ["anchor"], "met", "left").drop("met"), "status")
+        for t in (again, same, ragged, flagged):
+            work.drop(t)
+        self.whole = self.status.filter("n > 1")
+        contexts = self.status.filter("texts is not null and (n = 1 or rid = rep)")
+        # rows that need their text: not repeated as a whole, or holding a run that others are held against
+        each = self.whole.groupBy("rid").agg(F.count(F.lit(1)).alias("done"))
+        touched = self.status.select("rid").distinct().join(each, "rid", "left").join(d.select("rid", "doc_id", "sha", "n_words", F.size("runs").alias("n_runs")), "rid")
+        open_ = touched.select("rid", "doc_id", "sha", "n_words", (F.coalesce("done", F.lit(0)) < F.col("n_runs")).alias("open"))
+        held = contexts.groupBy("rid").agg(F.collect_list(F.struct("anchor", "s", "e", "n", "texts")).alias("held"))
+        self.touched = work.save(open_.join(held, "rid", "left"), "touched")
+
+    @staticmethod
+    def named(touched: DataFrame) -> DataFrame:
+        """One row for each id and text: of repeated rows the least, which stands for all their runs."""
+        first = touched.groupBy(_key("doc_id").alias("k"), "sha").agg(F.min_by(F.struct("rid", "open", "held", "n_words"), "rid").alias("x"))
+        return first.select("k", "sha", "x.*")
+
+    def starts(self, texts: DataFrame) -> DataFrame:
+        """(rid, starts) of the open rows; ``texts`` has rid, text, open and held."""
+        run = texts.filter("held is not null").select("rid", "text", F.explode("held").alias("c"))
+        context = F.expr(f"substring(text, cast(c.s as int) + 1, cast(c.e - c.s as int) + {self.cut})")
+        run = run.select("rid", "c.s", "c.e", "c.n", context.alias("text"), "c.anchor", "c.texts")
+        size = texts.filter("held is not null").select(F.explode("held").alias("c")).filter(F.col("c.texts") <= self.hot)
+        held = size.agg(F.sum(F.col("c.e") - F.col("c.s") + self.cut)).first()[0] or 0
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), held // TASK_BYTES)  # a task holds its suffixes
+        names = ["rid", "s", "e", "n", "text"]
+        few = run.filter(F.col("texts") <= self.hot).repartition(tasks, "anchor").select(names).mapInArrow(_settle(self.lengths, self.cut), START)
+        win = self.work.save(run.filter(F.col("texts") > self.hot).select(names).repartition("rid", "s").mapInArrow(_windows(self.lengths), WINDOW), "windows")
+        twice = win.filter("h1 is not null").groupBy("h1", "h2").agg(F.sum("n").alias("met")).filter("met > 1")
+        many = spread_join(win, twice, ["h1", "h2"], "met").select("rid", "len", "lo", "hi").unionByName(win.filter("h1 is null").select("rid", "len", "lo", "hi"))
+        # runs settled by their windows are in rows with an open run; of the others only those rows count
+        open_ = self.touched.filter("open").select("rid")
+        kept = self.whole.select("rid", F.lit(0).cast("long").alias("len"), F.col("s").alias("lo"), F.col("e").alias("hi")).join(open_, "rid", "left_semi")
+        return kept.unionByName(few).unionByName(many).groupBy("rid").agg(F.collect_list(F.struct("len", "lo", "hi")).alias("starts"))
+
+
+def _key(c: str):
+    return F.coalesce(F.col(c).cast("string"), F.lit("-"))
+
+
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = (LENGTH,), min_words: tuple[int, ...] | None = None, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges
+    removed, half open), sha (the digest of its whole text) and also, all for the first length:
+    ``also`` has the bytes covered at each further length. Stretches with fewer than ``min_words``
+    words of their length (0: any) do not count."""
+    min_words = min_words or (0,) * len(lengths)
+    r = Repeats(docs, id_col, text_col, lengths, gram, hot)
+    src = docs.select(_key(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("sha", F.sha2("text", 256))
+    wanted = r.named(r.touched.filter("open or held is not null"))
+    texts = r.work.save(src.join(wanted, ["k", "sha"]).drop("k", "sha", "n_words"), "texts")
+    part = texts.filter("open").select("rid", "text").join(r.starts(texts), "rid").select("rid", "text", "starts")
+    part = r.work.save(part.mapInArrow(_cut_spans(lengths, min_words), f"rid long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}, also array<bigint>"), "parts")
+    gone = r.touched.filter("not open").select("rid", F.lit(True).alias("gone"))
+    out = r.docs.drop("runs").join(part, "rid", "left").join(gone, "rid", "left")
+    all_of = lambda n, k: F.coalesce("gone", F.lit(False)) & (F.col("n_bytes") >= n) & (F.col("n_words") >= k)
+    gone_ = all_of(lengths[0], min_words[0])
+    zero = F.lit(0).cast("long")
+    further = [F.when(all_of(n, k), F.col("n_bytes")).otherwise(F.coalesce(F.get("also", F.lit(i)), zero)) for i, (n, k) in enumerate(zip(lengths[1:], min_words[1:], strict=True))]
+    return out.select(
+        "doc_id", "n_bytes", "sha",
+        F.when(gone_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(gone_, zero + 1).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(gone_, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone_, F.array(F.struct(zero.alias("start"), F.col("n_bytes").alias("stop")))).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))).alias("spans"),
+        F.array(*further).cast("array<bigint>").alias("also"),
+    )
+
+
+def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = PASSAGE_BYTES, min_words: int = PASSAGE_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The same rows and columns with repeated passages cut out of the texts: every occurrence of a
+    string of ``length`` bytes that starts twice in the corpus, where the stretch has at least
+    ``min_words`` words.
 
     Cuts are made between bytes; a character that a cut divides goes too. Every row stays, even one
     of which nothing is left; ``chars_col`` follows a changed text.
     """
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **options).filter("n_spans > 0")
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    spans = spans.select(key("doc_id").alias("k"), "sha", "spans").dropDuplicates(["k", "sha"])
-    own = docs.select(F.struct("*").alias("row"), key(id_col).alias("k"), F.col(text_col).cast("binary").alias("b")).withColumn("sha", F.sha2("b", 256))
-    met = own.join(spans, ["k", "sha"], "left")
-    row = own.schema["row"].dataType.simpleString()
-    cut = met.filter("spans is not null").select("row", "b", "spans").mapInArrow(_drop_spans(), f"row {row}, text string")
-    kind = dict(docs.dtypes)
-    new = [F.col("text").alias(c) if c == text_col else F.char_length("text").cast(kind[c]).alias(c) if c == chars_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return met.filter("spans is null").select("row.*").unionByName(cut.select(*new))
+    r = Repeats(docs, id_col, text_col, (length,), gram, hot)
+    info = r.named(r.touched)
+    own = docs.select(F.struct("*").alias("row"), _key(id_col).alias("k"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("sha"))
+    rows = r.work.save(own.join(info, ["k", "sha"], "left").drop("k", "sha"), "rows")
+    text = F.col(f"row.`{text_col}`").cast("binary").alias("text")
+    part = rows.filter("open").select("rid", "row", text).join(r.starts(rows.filter("open or held is not null").select("rid", text, "open", "held")), "rid", "left")
+    kind = rows.schema["row"].dataType.simpleString()
+    part = part.select("row", "text", "starts").mapInArrow(_cut_texts(length, min_words), f"row {kind}, changed boolean, text string")
+    gone = F.coalesce(~F.col("open") & (F.col("n_words") >= min_words), F.lit(False))
+    rest = rows.filter("open is null or not open").select("row", gone.alias("changed"), F.when(gone, F.lit("")).otherwise(F.col(f"row.`{text_col}`")).alias("text"))
+    types = dict(docs.dtypes)
+    new = [
+        F.col("text").alias(c) if c == text_col
+        else F.when(F.col("changed"), F.char_length("text")).otherwise(F.col(f"row.`{c}`")).cast(types[c]).alias(c) if c == chars_col
+        else F.col(f"row.`{c}`").alias(c)
+        for c in docs.columns
+    ]
+    return part.unionByName(rest).select(*new)
 
 
 def op7_suffix_dedup(spark, sf_dir):
+    """The contract's columns at 400 bytes; n_passage_bytes are those in repeated passages of over 50 words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return repeated_spans(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = repeated_spans(docs, lengths=(LENGTH, PASSAGE_BYTES), min_words=(0, PASSAGE_WORDS))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("also")[0].alias("n_passage_bytes"))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def test_one_per_group_keeps_clean_rows(corpus, pairs_of):
     assert {d for d, t in rows if shingle_set(t)} == {c for _, n, c in comps if n}
 
 
-def brute_spans(rows, length):
+def brute_spans(rows, length, min_words=0):
+    """(doc_id, text bytes, stretches) by counting every window."""
     raws = [(t or "").encode() for _, t in rows]
     seen = Counter(r[p : p + length] for r in raws for p in range(len(r) - length + 1))
     out = []
@@ -94,37 +96,67 @@ def brute_spans(rows, length):
         for p in range(len(r) - length + 1):
             if seen[r[p : p + length]] > 1:
                 mark[p : p + length] = b"\1" * length
-        kept = bytes(b for b, m in zip(r, mark) if not m)
-        spans = sum(1 for i in range(len(r)) if mark[i] and (i == 0 or not mark[i - 1]))
-        out.append((d, len(r), sum(mark), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=str)
+        spans = [m.span() for m in re.finditer(b"\1+", bytes(mark))]
+        out.append((d, r, [(a, b) for a, b in spans if len(r[a:b].split()) >= min_words]))
+    return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"length": 100, "gram": 30}])
-def test_suffix_dedup_equals_brute_force(corpus, pairs_of, options):
-    got = suffix_dedup.repeated_spans(corpus, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert sorted(map(tuple, got.collect()), key=str) == brute_spans(pairs_of, options.get("length", 400))
+def left_of(raw, spans):
+    return b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(raw)]))
 
 
-def test_remove_repeated_keeps_rows_and_other_columns(corpus, pairs_of):
-    out = suffix_dedup.remove_repeated(corpus).collect()
-    assert len(out) == len(pairs_of)
-    clean = {(d, t) for (d, t), s in zip(sorted(pairs_of, key=str), [None] * len(pairs_of))}
-    same = sum((r.doc_id, r.text) in clean for r in out)
-    assert 40 < same < len(out)
-    assert all(r.text is None or r.n_chars == len(r.text) for r in out)
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"lengths": (100,), "gram": 30}, {"lengths": (400, 200), "min_words": (0, 51)}, {"lengths": (60, 333, 90), "gram": 20, "hot": 3}])
+def test_suffix_dedup_equals_brute_force(corpus, pairs_of, options):
+    got = suffix_dedup.repeated_spans(corpus, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "also")
+    lengths = options.get("lengths", (400,))
+    words = options.get("min_words", (0,) * len(lengths))
+    each = [brute_spans(pairs_of, n, k) for n, k in zip(lengths, words)]
+    want = []
+    for (d, raw, spans), *more in zip(*each):
+        want.append((d, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(left_of(raw, spans)).hexdigest(), spans, [sum(b - a for a, b in s) for _, _, s in more]))
+    rows = [(*r[:5], [tuple(x) for x in r.spans], r.also) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str)
 
 
-def test_window_family_merges_geometrically():
-    f = suffix_dedup.WindowFamily(20)
+@pytest.mark.parametrize("options", [{}, {"hot": 1, "length": 90}, {"length": 400, "min_words": 0}])
+def test_remove_repeated_equals_brute_force(corpus, pairs_of, options):
+    out = suffix_dedup.remove_repeated(corpus, **options)
+    assert out.columns == corpus.columns and dict(out.dtypes) == dict(corpus.dtypes)
+    want = []
+    for (d, t), (_, raw, spans) in zip(pairs_of, brute_spans(pairs_of, options.get("length", 200), options.get("min_words", 51))):
+        want.append((d, left_of(raw, spans).decode("utf-8", "ignore") if spans else t))
+    rows = out.collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(want, key=str)
+    assert all(r.text is None or r.n_chars == len(r.text) for r in rows)
+    assert {(r.doc_id, r.lang, r.source) for r in rows} == {(r.doc_id, r.lang, r.source) for r in corpus.collect()}
+
+
+def test_texts_longer_than_a_chunk(spark, words, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    one, two = suffix_dedup._hashes()
+    r = random.Random(9)
+    raw = " ".join(r.choices(words, k=900)).encode()
+    for least, cut in ((100, 100), (60, 150)):
+        anchor, s, e, *_ = suffix_dedup.runs(raw, one, two, least, cut, 20)
+        assert s[0] == 0 and e[-1] == len(raw) - least and (s[1:] == e[:-1] + 1).all()
+        whole = suffix_dedup.runs(raw * 3, one, two, least, cut, 20)
+        again = Counter(zip(whole[0].tolist(), whole[3].tolist(), whole[4].tolist()))
+        assert max(again.values()) >= 2
+
+
+def test_suffix_family_finds_longest_matches_and_merges_geometrically():
+    f = suffix_dedup.SuffixFamily(20)
     r = random.Random(0)
-    texts = [bytes(r.choices(b"ab", k=60)) for _ in range(40)] + [b"x" * 30]
+    texts = [bytes(r.choices(b"ab", k=60)) for _ in range(40)] + [b"x" * 30, b"x" * 30]
     for t in texts:
-        f.add([t])
+        f.add([t], np.array([len(t) - 9]))
     assert all(len(a[0]) > 2 * len(b[0]) for a, b in zip(f.levels, f.levels[1:]))
-    seen = Counter(t[p : p + 20] for t in texts for p in range(len(t) - 19))
-    want = [[seen[t[p : p + 20]] > 1 for p in range(len(t) - 19)] for t in texts]
-    assert [m.tolist() for m in f.marked] == want
+    for keys, _ in f.levels:
+        assert (keys[1:] > keys[:-1]).all()
+    every = [t[p : p + 20] for t in texts for p in range(len(t) - 9)]
+    for n in (10, 15, 20):
+        seen = Counter(s[:n] for s in every if len(s) >= n)
+        assert (f.longest >= n).tolist() == [len(s) >= n and seen[s[:n]] > 1 for s in every]
 
 
 def test_top_k_equals_brute_force(spark):
