@@ -164,71 +164,86 @@ def _scan(least: int, cut: int, gram: int):
 class SuffixFamily:
     """Levels of suffix arrays: suffixes cut at ``cut`` bytes, ordered by their bytes.
 
-    ``longest[i]`` is the longest match (up to ``cut``) of every suffix of the i-th batch with any
-    other suffix added before or after. A suffix is held as its bytes plus one, padded with zeros, so
-    that numpy's order of byte strings is the order of the texts (UTF-8 has no byte 255).
+    ``longest[i]`` is the longest match (up to ``cut``) of the i-th suffix with any other one added
+    before or after. Of suffixes that are equal to the cut, told by 128-bit fingerprints, one is
+    indexed: near copies share most of theirs, and comparing equal bytes is what sorting costs. A
+    suffix is held as its bytes plus one, padded with zeros, so that numpy's order of byte strings is
+    the order of the texts (UTF-8 has no byte 255).
     """
 
     def __init__(self, cut: int = LENGTH):
         self.cut = cut
+        self.one, self.two = _hashes()
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (suffixes in order, references)
         self.longest = np.zeros(0, dtype=np.int32)
+        self.prints: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each level, ordered: (h1, h2, references)
         self.batches: list[slice] = []
 
-    def _suffixes(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """The first ``counts[i]`` suffixes of each text."""
-        size = np.array([len(t) for t in texts], dtype=np.int64)
-        pad = b"\xff" * self.cut
-        data = np.frombuffer(pad.join([*texts, b""]), dtype=np.uint8) + np.uint8(1)  # 255 + 1 is 0
-        first = np.cumsum(size + self.cut) - (size + self.cut)
-        at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        if not len(at):
-            return np.zeros(0, dtype=f"S{self.cut}")
-        return np.lib.stride_tricks.sliding_window_view(data, self.cut)[at].view(f"S{self.cut}").ravel()
+    def _match(self, refs: np.ndarray, length: np.ndarray) -> None:
+        """Note matches of references, none of which is given twice."""
+        self.longest[refs] = np.maximum(self.longest[refs], length)
 
-    def _scan(self, keys: np.ndarray, refs: np.ndarray) -> np.ndarray:
-        """Common prefixes of neighbours of an ordered array; returns where a new suffix begins."""
-        fresh = np.ones(len(keys), dtype=bool)
+    def _scan(self, keys: np.ndarray, refs: np.ndarray) -> None:
+        """Common prefixes of the neighbours in an ordered array."""
         rows = keys.view(np.uint8).reshape(-1, self.cut)
-        for lo in range(0, len(keys) - 1, 16384):
-            a, b = rows[lo : lo + 16384], rows[lo + 1 : lo + 16385]
+        for lo in range(0, len(keys) - 1, 8192):
+            a, b = rows[lo : lo + 8192], rows[lo + 1 : lo + 8193]
             differ = (a[: len(b)] != b) | (b == 0)
             common = differ.argmax(axis=1)
             common[~differ[np.arange(len(b)), common]] = self.cut
-            x, y = refs[lo : lo + len(b)], refs[lo + 1 : lo + 1 + len(b)]
-            for r in (x, y):  # no reference is met twice in an array
-                self.longest[r] = np.maximum(self.longest[r], common)
-            fresh[lo + 1 : lo + 1 + len(b)] = keys[lo : lo + len(b)] != keys[lo + 1 : lo + 1 + len(b)]
-        return fresh
+            self._match(refs[lo : lo + len(b)], common)
+            self._match(refs[lo + 1 : lo + 1 + len(b)], common)
 
     @staticmethod
-    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Two ordered arrays as one."""
+    def _merged(a: tuple, b: tuple) -> tuple:
+        """Two ordered tables (the first column leads) as one."""
         at = np.searchsorted(a[0], b[0], side="right") + np.arange(len(b[0]))
-        keys = np.empty(len(a[0]) + len(b[0]), dtype=a[0].dtype)
-        refs = np.empty(len(keys), dtype=np.int64)
-        old = np.ones(len(keys), dtype=bool)
+        old = np.ones(len(a[0]) + len(b[0]), dtype=bool)
         old[at] = False
-        keys[at], refs[at], keys[old], refs[old] = *b, *a
-        return keys, refs
+        out = []
+        for x, y in zip(a, b, strict=True):
+            z = np.empty(len(old), dtype=x.dtype)
+            z[at], z[old] = y, x
+            out.append(z)
+        return tuple(out)
 
     def add(self, texts: list[bytes], counts: np.ndarray) -> None:
         """Index the first ``counts[i]`` suffixes of each text as a new batch."""
-        keys = self._suffixes(texts, counts)
-        refs = np.arange(len(self.longest), len(self.longest) + len(keys))
-        self.batches.append(slice(len(self.longest), len(self.longest) + len(keys)))
-        self.longest = np.concatenate([self.longest, np.zeros(len(keys), dtype=np.int32)])
-        order = np.argsort(keys, kind="stable")
-        keys, refs = keys[order], refs[order]
-        fresh = self._scan(keys, refs)
-        new = keys[fresh], refs[fresh]  # of equal suffixes one; all of them are matched in full
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        data = np.frombuffer((b"\xff" * self.cut).join([*texts, b""]), dtype=np.uint8)
+        first = np.cumsum(size + self.cut) - (size + self.cut)
+        at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        length = np.minimum(np.repeat(first + size, counts) - at, self.cut)
+        h1, h2 = (r.of(r.prefix(data), at, at + length) for r in (self.one, self.two))
+        base = len(self.longest)
+        self.batches.append(slice(base, base + len(at)))
+        self.longest = np.concatenate([self.longest, np.zeros(len(at), dtype=np.int32)])
+        # equal suffixes of the batch, then those that a level has
+        order = np.argsort(h1, kind="stable")
+        same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+        for x in (order[1:][same], order[:-1][same]):
+            self._match(base + x, length[x])
+        order = order[np.concatenate([[True], ~same])] if len(order) else order
+        for p1, p2, refs in self.prints:
+            to = np.minimum(np.searchsorted(p1, h1[order]), len(p1) - 1)
+            hit = (p1[to] == h1[order]) & (p2[to] == h2[order])
+            self._match(base + order[hit], length[order[hit]])
+            self._match(refs[to[hit]], length[order[hit]])
+            order = order[~hit]
+        if not len(order):
+            return
+        prints = h1[order], h2[order], base + order
+        keys = np.lib.stride_tricks.sliding_window_view(data + np.uint8(1), self.cut)[at[order]].view(f"S{self.cut}").ravel()
+        by = np.argsort(keys, kind="stable")
+        array = keys[by], base + order[by]
+        self._scan(*array)
         for level in self.levels:
-            self._scan(*self._merged(level, new))
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            keys, refs = self._merged(self.levels.pop(), new)
-            fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
-            new = keys[fresh], refs[fresh]
-        self.levels.append(new)
+            self._scan(*self._merged(level, array))
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(array[0]):
+            array = self._merged(self.levels.pop(), array)
+            prints = self._merged(self.prints.pop(), prints)
+        self.levels.append(array)
+        self.prints.append(prints)
 
 
 def _intervals(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
