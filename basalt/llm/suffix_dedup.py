@@ -45,7 +45,7 @@ PASSAGE_WORDS = 51
 GRAM = 40
 HOT = 1024
 CHUNK = 1 << 20
-SLICE_BYTES = 300_000
+SLICE_BYTES = 500_000
 TASK_BYTES = 1_500_000
 LONG_RUN = 1000
 
@@ -172,27 +172,25 @@ class SuffixFamily:
     """
 
     def __init__(self, cut: int = LENGTH):
-        self.cut = cut
+        self.cut, self.width = cut, -(-cut // 8) * 8
         self.one, self.two = _hashes()
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (suffixes in order, references)
-        self.longest = np.zeros(0, dtype=np.int32)
+        self.longest = self.size = np.zeros(0, dtype=np.int32)
         self.prints: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each level, ordered: (h1, h2, references)
         self.batches: list[slice] = []
 
-    def _match(self, refs: np.ndarray, length: np.ndarray) -> None:
-        """Note matches of references, none of which is given twice."""
-        self.longest[refs] = np.maximum(self.longest[refs], length)
-
-    def _scan(self, keys: np.ndarray, refs: np.ndarray) -> None:
-        """Common prefixes of the neighbours in an ordered array."""
-        rows = keys.view(np.uint8).reshape(-1, self.cut)
-        for lo in range(0, len(keys) - 1, 8192):
-            a, b = rows[lo : lo + 8192], rows[lo + 1 : lo + 8193]
-            differ = (a[: len(b)] != b) | (b == 0)
-            common = differ.argmax(axis=1)
-            common[~differ[np.arange(len(b)), common]] = self.cut
-            self._match(refs[lo : lo + len(b)], common)
-            self._match(refs[lo + 1 : lo + 1 + len(b)], common)
+    def _match(self, x: np.ndarray, y: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> None:
+        """Note the common prefixes of pairs of suffixes (x and y, at these references)."""
+        for lo in range(0, len(x), 8192):
+            u, v = (z[lo : lo + 8192].view(np.uint64).reshape(-1, self.width // 8) for z in (x, y))
+            differ = u ^ v
+            word = (differ != 0).argmax(axis=1)
+            bits = differ[np.arange(len(u)), word]
+            low = np.log2((bits & (~bits + _U(1))).astype(np.float64), where=bits != 0, out=np.full(len(u), 8.0 * self.width))
+            r, t = (z[lo : lo + 8192] for z in at)
+            common = np.minimum(8 * word + (low // 8).astype(np.int64), np.minimum(self.size[r], self.size[t])).astype(np.int32)
+            np.maximum.at(self.longest, r, common)
+            np.maximum.at(self.longest, t, common)
 
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple:
@@ -210,35 +208,38 @@ class SuffixFamily:
     def add(self, texts: list[bytes], counts: np.ndarray) -> None:
         """Index the first ``counts[i]`` suffixes of each text as a new batch."""
         size = np.array([len(t) for t in texts], dtype=np.int64)
-        data = np.frombuffer((b"\xff" * self.cut).join([*texts, b""]), dtype=np.uint8)
-        first = np.cumsum(size + self.cut) - (size + self.cut)
+        data = np.frombuffer((b"\xff" * self.width).join([*texts, b""]), dtype=np.uint8)
+        first = np.cumsum(size + self.width) - (size + self.width)
         at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         length = np.minimum(np.repeat(first + size, counts) - at, self.cut)
         h1, h2 = (r.of(r.prefix(data), at, at + length) for r in (self.one, self.two))
         base = len(self.longest)
         self.batches.append(slice(base, base + len(at)))
+        self.size = np.concatenate([self.size, length.astype(np.int32)])
         self.longest = np.concatenate([self.longest, np.zeros(len(at), dtype=np.int32)])
         # equal suffixes of the batch, then those that a level has
         order = np.argsort(h1, kind="stable")
         same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
         for x in (order[1:][same], order[:-1][same]):
-            self._match(base + x, length[x])
+            self.longest[base + x] = length[x]
         order = order[np.concatenate([[True], ~same])] if len(order) else order
         for p1, p2, refs in self.prints:
             to = np.minimum(np.searchsorted(p1, h1[order]), len(p1) - 1)
             hit = (p1[to] == h1[order]) & (p2[to] == h2[order])
-            self._match(base + order[hit], length[order[hit]])
-            self._match(refs[to[hit]], length[order[hit]])
+            self.longest[base + order[hit]] = self.longest[refs[to[hit]]] = length[order[hit]]
             order = order[~hit]
         if not len(order):
             return
         prints = h1[order], h2[order], base + order
-        keys = np.lib.stride_tricks.sliding_window_view(data + np.uint8(1), self.cut)[at[order]].view(f"S{self.cut}").ravel()
+        keys = np.lib.stride_tricks.sliding_window_view(data + np.uint8(1), self.width)[at[order]].view(f"S{self.width}").ravel()
         by = np.argsort(keys, kind="stable")
-        array = keys[by], base + order[by]
-        self._scan(*array)
-        for level in self.levels:
-            self._scan(*self._merged(level, array))
+        keys, refs = keys[by], base + order[by]
+        self._match(keys[1:], keys[:-1], (refs[1:], refs[:-1]))
+        for old, names in self.levels:  # a new suffix's neighbours; an old one's nearest is its neighbour or an old one
+            to = np.searchsorted(old, keys)
+            for side, ok in ((to - 1, to > 0), (to, to < len(old))):
+                self._match(keys[ok], old[side[ok]], (refs[ok], names[side[ok]]))
+        array = keys, refs
         while self.levels and len(self.levels[-1][0]) <= 2 * len(array[0]):
             array = self._merged(self.levels.pop(), array)
             prints = self._merged(self.prints.pop(), prints)
