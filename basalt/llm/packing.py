@@ -55,13 +55,24 @@ class Words(dict):
         return got
 
 
+#: How the fast path needs a tokenizer to normalise and to split (fixed values of the file).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, word by word through a bounded cache.
 
     Words are cut at plain spaces and line feeds, where the tokenizer's own splitting always cuts
     and drops the separator. Words of Latin-1 letters, with plain punctuation behind, skip the
     normaliser, which can only lower them, and go to the merge model at once; anything else is left
-    to the whole tokenizer.
+    to the whole tokenizer. A tokenizer with other rules gets whole texts.
     """
 
     _open: dict[str, Encoder] = {}
@@ -74,8 +85,9 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        self.tok.encode_special_tokens = True
+        path = name if "/" in name else public_tokenizers.path(name)
+        self.tok = Tokenizer.from_file(path)
+        self.by_word = self._known(path)
         self.merge = self.tok.model.tokenize
         # bytes that are no printable Latin-1 characters stand in a byte-level vocabulary as 256, 257, ...
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -83,6 +95,16 @@ class Encoder:
         self.byte_level = {b: b if b in plain else next(rest) for b in range(256)}
         self.fresh = Words(self.word, {})
 
+    @classmethod
+    def _known(cls, path: str) -> bool:
+        """Whether the file's rules are those that the word-wise path stands for."""
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        added = [t for t in rules["added_tokens"] if t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].strip(cls.TAIL).isalpha() or any(c.isspace() for c in t["content"])]
+        return rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == SPLITTER and rules["model"]["type"] == "BPE" and not added
+
     @classmethod
     def of(cls, name: str) -> Encoder:
         if name not in cls._open:
@@ -94,7 +116,7 @@ class Encoder:
 
     def word(self, w: str) -> bytes:
         core = w.rstrip(self.TAIL)
-        if not core.isalpha():
+        if not core.isalpha() or max(core) >= "\u0100":  # further letters may fall apart when lowered
             return self.whole(w)
         if core == w:
             return self.letters(w)
@@ -108,12 +130,12 @@ class Encoder:
     def letters(self, core: str) -> bytes:
         low = core.lower()
         if not low.isascii():
-            if max(core) >= "\u0100":
-                return self.whole(core)
             low = low.encode().decode("latin-1").translate(self.byte_level)
         return array("I", [t.id for t in self.merge(low)]).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
         if len(self.fresh) > WORDS_KEPT:
             self.fresh.older = {}  # two generations at most
             self.fresh = Words(self.word, self.fresh)
