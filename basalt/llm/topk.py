@@ -1,21 +1,28 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
+The dimensions are dealt into ``groups``; a vector's score is the sum of its partial scores.
 Queries are taken in blocks of bounded size (``block_rows``), each block against every vector:
 
-1. each task gathers the local score lists of its vectors: the best few exact totals per query;
-2. the k-th best of all gathered totals is a safe cutoff T and is broadcast with the block. The
-   dimensions are dealt into m groups; a vector can reach T only if some group's partial score
-   reaches T / m, so a task collects only such entries;
-3. the remaining groups of the collected entries are resolved exactly, and entries that reach T
-   are sent, at most k per query and task; the best k of those are the answer.
-
-All scores are integers held exactly in doubles or 64-bit integers. Tasks send at most k rows per
-query, so a vector repeated in a third of all rows sends no more than any other.
-
-Defined results: a vector that is null, empty, holds a null or non-finite component, or a scaled
-component beyond 2**26 in magnitude takes no part, nor does a row with a null id; vectors of
-another length than the query's are no candidates; repeated queries (same id and vector) are one
-query; repeated candidate rows each hold a rank, ties going to the smaller id.
+1. each task takes the partial scores of the first group, and the few vectors leading its local list
+   of a query are completed; the k-th best of all completed scores is a safe cutoff T;
+2. T is broadcast with the block. A partial score, with the product of the norms of what is left (an
+   upper bound by Cauchy and Schwarz), must reach T: only such entries are collected, and group by
+   group fewer of them are left;
+3. what survives has its remaining groups resolved exactly; at most k entries per query and task are
+   sent, and the best k of those are the answer.
+
+The products of the other groups are computed only for entries that are alive: as a matrix of the
+vectors alive for some query of a chunk while that is dense, entry by entry where it is sparse.
+
+Scores are exact integers: in doubles while every sum stays below 2**53, in 64-bit integers below
+2**63, else in Python's. A score outside 64 bits cannot be returned and raises an error if it is among
+a query's k best. Tasks send at most k rows per query, so a vector repeated in a third of all rows
+sends no more than any other.
+
+Defined results: a vector that is null, empty, or holds a null or non-finite component takes no
+part, nor does a row with a null id; vectors of another length than the query's are no candidates;
+repeated queries (same id and vector) are one query; repeated candidate rows each hold a rank, ties
+going to the smaller id; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,18 +40,20 @@ from basalt.llm import scratch
 K = 10
 SCALE = 1024
 GROUPS = 4
-BLOCK_ROWS = 2048
-LIMIT = float(2**26)
+BLOCK_ROWS = 8192
+CHUNK = 256
+SPARSE = 0.05
+LONG = 2**63
 
 
 def _vectors(ids: pa.Array, vecs: pa.Array, scale: float = SCALE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Usable vectors of a batch by their length: (ids, scaled components)."""
+    """Usable vectors of a batch by their length: (ids, scaled components, whole numbers in doubles)."""
     sizes = np.asarray(vecs.value_lengths().fill_null(0))
     flat = vecs.flatten()
     bad = np.asarray(flat.is_null())
-    x = np.floor(np.asarray(flat.fill_null(0)).astype(np.float64) * scale)
-    with np.errstate(invalid="ignore"):
-        bad = bad | ~(np.abs(x) <= LIMIT)
+    x = np.asarray(flat.fill_null(0)).astype(np.float64)
+    bad = bad | ~np.isfinite(x)
+    x = np.floor(np.where(bad, 0, x) * scale)
     ends = np.cumsum(sizes)
     wrong = np.diff(np.concatenate([[0], np.cumsum(bad)])[np.concatenate([[0], ends])]) > 0
     ok = ~wrong & (sizes > 0) & ~np.asarray(ids.is_null())
@@ -56,16 +65,25 @@ def _vectors(ids: pa.Array, vecs: pa.Array, scale: float = SCALE) -> dict[int, t
     return out
 
 
-def _dot(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products: through BLAS while every sum stays below 2**53."""
-    top = (np.abs(q).max(initial=0) * np.abs(c).max(initial=0)) * q.shape[1]
+def _largest(x: np.ndarray) -> float:
+    return float(np.abs(x).max(initial=0))
+
+
+def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact products of rows whatever their size; Python integers where 64 bits may not do."""
+    top = _largest(q) * _largest(c) * q.shape[1]
     if top < 2.0**53:
         return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if top < 2.0**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = lambda m: np.array([[int(v) for v in row] for row in m], dtype=object).reshape(m.shape)
+    return whole(q) @ whole(c).T
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id."""
+    if score.dtype == object:
+        return np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k], dtype=np.int64)
     if len(score) > 4 * k:
         kth = np.partition(score, len(score) - k)[len(score) - k]
         over, tied = np.flatnonzero(score > kth), np.flatnonzero(score == kth)
@@ -76,6 +94,62 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return pos[np.lexsort((ids[pos], -score[pos]))][:k]
 
 
+class Chunk:
+    """Some queries of one length against some vectors whose scores fit doubles, group by group."""
+
+    def __init__(self, q: np.ndarray, c: np.ndarray, groups: int):
+        self.q, self.c = q, c
+        m = min(groups, q.shape[1])
+        self.parts = [np.arange(g, q.shape[1], m) for g in range(m)]
+        self.products = 0  # multiplications of components done
+
+    def rest(self, x: np.ndarray, g: int) -> np.ndarray:
+        """Norms over the groups after ``g``, rounded up."""
+        left = np.concatenate([[], *self.parts[g + 1 :]]).astype(int)
+        return np.sqrt((x[:, left] ** 2).sum(axis=1)) * (1 + 1e-9)
+
+    def partial(self, g: int, rows: slice | np.ndarray = slice(None)) -> np.ndarray:
+        p = self.parts[g]
+        cols = self.c[rows][:, p]
+        self.products += len(self.q) * cols.size
+        return self.q[:, p] @ cols.T
+
+    def leading(self, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Phase 1: (query, vectors leading its list of the first group, their whole scores)."""
+        p = self.partial(0)
+        k = min(k, p.shape[1])
+        lead = np.argpartition(-p, k - 1, axis=1)[:, :k] if k < p.shape[1] else np.tile(np.arange(k), (len(p), 1))
+        self.products += lead.size * self.q.shape[1]
+        for i, rows in enumerate(lead):
+            yield i, rows, (self.c[rows] @ self.q[i]).astype(np.int64)
+
+    def reaching(self, cutoff: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Phases 2 and 3: (query, vectors that reach its cutoff, their whole scores)."""
+        rows = np.arange(len(self.c))
+        total = self.partial(0)
+        for g in range(1, len(self.parts)):
+            bound = self.rest(self.q, g - 1)[:, None] * self.rest(self.c[rows], g - 1)
+            live = total + bound + 1 >= cutoff[:, None]
+            some = live.any(axis=0)
+            if live.sum() < SPARSE * max(1, len(self.q) * some.sum()):
+                yield from self._resolve(g, rows, total, live, cutoff)
+                return
+            rows, total = rows[some], total[:, some]
+            total = total + self.partial(g, rows)
+        for i in range(len(self.q)):
+            ok = np.flatnonzero(total[i] >= cutoff[i])
+            yield i, rows[ok], total[i, ok].astype(np.int64)
+
+    def _resolve(self, g: int, rows: np.ndarray, total: np.ndarray, live: np.ndarray, cutoff: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        left = np.concatenate(self.parts[g:])
+        for i in range(len(self.q)):
+            at = np.flatnonzero(live[i])
+            score = total[i, at] + self.c[rows[at]][:, left] @ self.q[i, left]
+            self.products += len(at) * len(left)
+            ok = score >= cutoff[i]
+            yield i, rows[at[ok]], score[ok].astype(np.int64)
+
+
 def _scan(queries: dict, cutoff: dict[int, int] | None, k: int, groups: int, scale: float) -> Callable:
     """A task over candidate batches. queries: length -> (query numbers, ids, matrix)."""
 
@@ -88,34 +162,37 @@ def _scan(queries: dict, cutoff: dict[int, int] | None, k: int, groups: int, sca
             pos = _best(score, ids, k)
             kept[qno] = (ids[pos], score[pos])
 
+        def take(qs: slice, n: int, ids: np.ndarray, found: Iterator) -> None:
+            for i, rows, score in found:
+                other = ids[rows] != queries[n][1][qs][i]
+                if other.any():
+                    offer(int(queries[n][0][qs][i]), ids[rows[other]], score[other])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 for n, (ids, c) in _vectors(part.column(0), part.column(1), scale).items():
                     if n not in queries:
                         continue
-                    qnos, qids, q = queries[n]
-                    for lo in range(0, len(qnos), 256):
-                        qs = slice(lo, lo + 256)
-                        if cutoff is None:
-                            total = _dot(q[qs], c)
-                            live = None
-                        else:  # phase 2: some group must reach an m-th of the cutoff
-                            t = np.array([cutoff.get(int(x), np.iinfo(np.int64).min) for x in qnos[qs]], dtype=np.float64)
-                            m = min(groups, n)
-                            parts = [_dot(q[qs, g::m], c[:, g::m]) for g in range(m)]
-                            live = np.zeros(parts[0].shape, dtype=bool)
-                            for p in parts:
-                                live |= p >= np.floor(t / m)[:, None]
-                            total = sum(parts[1:], parts[0])  # phase 3: the other groups of what was collected
-                        for i, (qno, qid) in enumerate(zip(qnos[qs], qids[qs], strict=True)):
-                            take = ids != qid
-                            if live is not None:
-                                take &= live[i] & (total[i] >= (t[i] if np.isfinite(t[i]) else -np.inf))
-                            if take.any():
-                                offer(int(qno), ids[take], total[i][take])
+                    for lo in range(0, len(queries[n][0]), CHUNK):
+                        qs = slice(lo, lo + CHUNK)
+                        q = queries[n][2][qs]
+                        small = np.abs(c).max(axis=1) * _largest(q) * n < 2.0**53
+                        wide = np.flatnonzero(~small)
+                        for w in range(0, len(wide), 64):
+                            rows = wide[w : w + 64]
+                            take(qs, n, ids, ((i, rows, s) for i, s in enumerate(_exact(q, c[rows]))))
+                        if small.any():
+                            names, chunk = ids[small], Chunk(q, c[small], groups)
+                            if cutoff is None:
+                                take(qs, n, names, chunk.leading(k + 1))  # one may be the query itself
+                            else:
+                                least = np.array([cutoff.get(int(x), -np.inf) for x in queries[n][0][qs]], dtype=np.float64)
+                                take(qs, n, names, chunk.reaching(least))
         for qno, (ids, score) in kept.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qno), pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], ["qno", "vec_id", "score"])
+            over = np.array([not -LONG <= int(x) < LONG for x in score])
+            fits = [max(-LONG, min(LONG - 1, int(x))) for x in score]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qno), pa.int64()), pa.array(ids, pa.int64()), pa.array(fits, pa.int64()), pa.array(over, pa.bool_())], ["qno", "vec_id", "score", "over"])
 
     return run
 
@@ -141,7 +218,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
                 owner.update(zip(qnos.tolist(), ids.tolist(), strict=True))
                 old = queries.get(size)
                 queries[size] = (qnos, ids, q) if old is None else tuple(np.concatenate(x) for x in zip(old, (qnos, ids, q), strict=True))
-        schema = "qno long, vec_id long, score long"
+        for size, (qnos, ids, q) in queries.items():
+            order = np.argsort(np.abs(q).max(axis=1), kind="stable")  # wide ones together
+            queries[size] = qnos[order], ids[order], q[order]
+        schema = "qno long, vec_id long, score long, over boolean"
         first = v.mapInArrow(_scan(queries, None, max(2, k // 4), groups, scale), schema)
         best = W.partitionBy("qno").orderBy(F.desc("score"), "vec_id")
         cut = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("qno", "score")
@@ -149,7 +229,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
         sent = v.mapInArrow(_scan(queries, cutoff, k, groups, scale), schema)
         names = spark.createDataFrame(pa.table({"qno": pa.array(list(owner), pa.int64()), "query_id": pa.array(list(owner.values()), pa.int64())}))
         got = sent.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(F.broadcast(names), "qno")
-        got = work.save(got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), f"block{b}")
+        fits = F.when(F.col("over"), F.raise_error(F.lit("a score among the best does not fit 64 bits"))).otherwise(F.col("score"))
+        got = work.save(got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", fits.alias("score")), f"block{b}")
         found = got if found is None else found.unionByName(got)
     return found
 
