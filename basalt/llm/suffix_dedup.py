@@ -45,8 +45,8 @@ PASSAGE_WORDS = 51
 GRAM = 40
 HOT = 1024
 CHUNK = 1 << 20
-SLICE_BYTES = 500_000
-TASK_BYTES = 1_500_000
+SLICE_BYTES = 400_000
+TASK_BYTES = 1_200_000
 LONG_RUN = 1000
 
 _U = np.uint64

@@ -1,5 +1,6 @@
 """Chat formatting, mixing, packing, and the pipeline."""
 
+import random
 import re
 import zlib
 
@@ -128,7 +129,7 @@ def test_materialised_mix(spark, corpus):
 
 
 def test_pack_round_trip(spark, corpus, pairs_of):
-    tok = packing.Encoder.of("word_bpe_49k.json").tok
+    tok = fresh_tokenizer()
     pieces = packing.packed(corpus, window=64, step=4).collect()
     by_seq, by_doc = {}, {}
     for p in pieces:
@@ -150,11 +151,30 @@ def test_pack_round_trip(spark, corpus, pairs_of):
     assert packing.packed(corpus.filter("false")).count() == 0
 
 
+def fresh_tokenizer(name="word_bpe_49k.json"):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def test_encoder_equals_tokenizer_on_odd_texts():
-    e = packing.Encoder.of("word_bpe_49k.json")
-    odd = ["<|endoftext|> it's don't We'll ÀÉÎ straße ŁÓDŹ İstanbul ΟΔΟΣ 12345 a1b2 \t x\x1cy z  \r\n foo.,!? bar's, é É. ª º µm ﬁ 漢字 😀!! |x| $5 'tis K", "", " ", "\n\n", "a." * 300, "É" * 50]
-    for t, got in zip(odd, e.batch(odd)):
-        assert got == np.array(e.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    e, tok = packing.Encoder.of("word_bpe_49k.json"), fresh_tokenizer()
+    assert e.by_word
+    odd = ["<|endoftext|> it's don't We'll ÀÉÎ straße ŁÓDŹ İstanbul DENİZİ. İ! ΟΔΟΣ 12345 a1b2 \t x\x1cy z  \r\n foo.,!? bar's, é É. ª º µm ﬁ 漢字 😀!! |x| $5 'tis K", "", " ", "\n\n", "a." * 300, "É" * 50, "a<|endoftext|>b<|startoftext|>", "<|endoftext |> <|ENDOFTEXT|>", "e\u0301. e \u0301", "\ufb01! ǆ? Ǆ;"]
+    r = random.Random(4)
+    letters = [chr(c) for c in range(1, 0x300)] + list("\u0301\u0307Σςİıŉǰßﬀẞ') .,!?|<>") + ["<|endoftext|>"]
+    odd += ["".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(3000)]
+    odd += [w for c in range(1, 0x300) for t in e.TAIL for w in (chr(c) + t, "a" + chr(c) + t, chr(c) + "z" + t + t)]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in tok.encode_batch(odd, add_special_tokens=False)]
+    assert [t for t, a, b in zip(odd, e.batch(odd), want) if a != b] == []
+
+
+def test_other_tokenizers_get_whole_texts():
+    e, tok = packing.Encoder.of("byte_bpe_50k.json"), fresh_tokenizer("byte_bpe_50k.json")
+    assert not e.by_word
+    for t in ("Two  words\n\nand. more", "", "<|endoftext|>"):
+        assert e.batch([t]) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()]
 
 
 def test_plan_uses_every_piece_and_fits():

@@ -1,9 +1,11 @@
 """Jaccard join, substring dedup and top-k against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -159,29 +161,60 @@ def test_suffix_family_finds_longest_matches_and_merges_geometrically():
         assert (f.longest >= n).tolist() == [len(s) >= n and seen[s[:n]] > 1 for s in every]
 
 
-def test_top_k_equals_brute_force(spark):
-    r = random.Random(2)
-    v = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
-    v += [(300 + i, v[10][1]) for i in range(150)]  # a very common vector
-    v += [(900, None), (901, [float("nan")] * 8), (902, [1.0, None] + [0.0] * 6), (903, []), (904, [1e300] * 8), (None, [0.1] * 8), (100, [0.5, 0.5]), (7, v[7][1])]
-    df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(5)
+def brute_top_k(rows):
     usable = []
-    for i, x in v:
-        if i is None or not x or any(c is None or c != c or abs(c) > 1e5 for c in x):
-            continue
-        import numpy as np
-
-        usable.append((i, tuple(int(np.floor(1024 * float(np.float32(c)))) for c in x)))
+    for i, x in rows:
+        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
+            usable.append((i, tuple(math.floor(Fraction(float(np.float32(c))) * 1024) for c in x)))
     want = []
     for i, x in sorted({u for u in usable if u[0] % 100 == 0}):
         s = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in usable if j != i and len(y) == len(x))[:10]
         want += [(i, k + 1, j, -n) for k, (n, j) in enumerate(s)]
-    for options in ({}, {"block_rows": 1, "groups": 3}):
+    return sorted(want)
+
+
+def test_top_k_equals_brute_force(spark):
+    r = random.Random(2)
+    v = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
+    v += [(300 + i, v[10][1]) for i in range(150)]  # a very common vector
+    v += [(900, None), (901, [float("nan")] * 8), (902, [1.0, None] + [0.0] * 6), (903, []), (None, [0.1] * 8), (100, [0.5, 0.5]), (7, v[7][1]), (905, [float("inf")] * 8)]
+    v += [(1001 + i, [r.uniform(-1, 1) * 10.0 ** r.randint(0, 4) for _ in range(8)]) for i in range(40)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("qno", "vec", "score", "rank", "query_id", "block")}).repartition(5)
+    for options in ({}, {"block_rows": 1, "groups": 3}, {"groups": 20}):
         got = topk.top_k(df, F.col("vec_id") % 100 == 0, **options)
-        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert sorted(map(tuple, got.collect())) == brute_top_k(v)
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    r = random.Random(3)
+    v = [(i, [r.uniform(-1, 1) * 10.0 ** r.choice([0, 0, 0, 4, 5, 6]) for _ in range(6)]) for i in range(260)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect())) == brute_top_k(v)
+    few = [(0, [1.0, 0.0]), (1, [70000.0, 0.0]), (2, [2.0, 0.0]), (3, [-3e38, 1.0])] + [(4 + i, [0.5, 1.0]) for i in range(20)]
+    got = topk.top_k(spark.createDataFrame(few, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == brute_top_k(few) and got[0].vec_id == 1
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+
+
+def test_top_k_prunes():
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(20, 32))
+    c = np.floor(1024 * (centre[rng.integers(0, 20, 4000)] + 0.05 * rng.normal(size=(4000, 32))))
+    q = np.floor(1024 * centre[:16])
+    whole = q @ c.T
+    cut = np.sort(whole, axis=1)[:, -10]
+    chunk = topk.Chunk(q, c, 4)
+    for i, rows, score in chunk.reaching(cut):
+        assert sorted(rows.tolist()) == np.flatnonzero(whole[i] >= cut[i]).tolist() and (whole[i, rows] == score).all()
+    assert chunk.products < 0.7 * q.size * len(c)
+    first = topk.Chunk(q, c, 4)
+    for i, rows, score in first.leading(3):
+        assert (whole[i, rows] == score).all()
+    assert first.products < 0.3 * q.size * len(c)
+
+
 def test_empty_tables(corpus):
     none = corpus.filter("false")
     assert jaccard.jaccard_components(none).count() == 0
