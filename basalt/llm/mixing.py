@@ -2,15 +2,18 @@
 
 DataFrame functions only. A source's target is its weight's share of all words, capped at
 ``max_repeat`` times what it has, the excess going to the others by weight (water filling, in
-closed form over one row per source). The target is divided into blocks of equal words; the
+closed form over one row per source). The target is divided into blocks of ``block_words`` words; the
 blocks go to the source's shards by the highest quotients ``words / (2 seats + 1)``, so each shard
 has an integer quota. A shard is a circular stream of its documents in a seeded order; its quota is
 taken as whole passes plus one run of blocks starting at a seeded block.
 
-Shards are dealt by a digest of the document id, so a hot source is spread over ``shards`` groups.
+Shards are dealt by a digest of the document id, ``SHARDS`` or one for each ``SHARD_ROWS`` rows of the
+table, so a shard of a source that has them all holds about ``SHARD_ROWS`` rows at any size. Rows are
+written once with their sizes; the plan is made on ids and sizes, and the rows are joined to it.
 
 Defined results: null or empty text has size 0 and is never taken; a null source is a source of its
-own, last in order; repeated rows count separately; an empty table gives an empty result.
+own, last in order; repeated rows count separately; an empty table gives an empty result; other
+columns stay whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from basalt.llm import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 SHARDS = 128
+SHARD_ROWS = 250_000
 MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
-BLOCK_WORDS = 256
+BLOCK_WORDS = 16
 
 
 def n_words(text: Column) -> Column:
@@ -65,8 +71,7 @@ def quotas(cells: DataFrame, sources: DataFrame, max_repeat: int = MAX_REPEAT, s
     Rounding words * blocks / source_size gives seats of some divisor; the difference from the
     source's blocks, at most half its shards, is settled by the next (or last) quotients.
     """
-    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr("total div 10000"))).cast("long")
-    s = sources.withColumn("block", block).withColumn("blocks", F.floor(F.col("target") / F.col("block") + 0.5).cast("long"))
+    s = sources.withColumn("block", F.lit(block_words).cast("long")).withColumn("blocks", F.floor(F.col("target") / F.col("block") + 0.5).cast("long"))
     c = cells.filter("z > 0").join(s, "k")
     c = c.withColumn("seats0", F.expr("(cast(2 as decimal(1,0)) * cast(blocks as decimal(18,0)) * cast(z as decimal(18,0)) + cast(source_size as decimal(18,0))) div (cast(2 as decimal(1,0)) * cast(source_size as decimal(18,0)))").cast("long"))
     c = c.withColumn("lack", F.col("blocks") - F.sum("seats0").over(W.partitionBy("k")))
@@ -84,16 +89,19 @@ def quotas(cells: DataFrame, sources: DataFrame, max_repeat: int = MAX_REPEAT, s
     return c.select("k", "shard", "source_size", "target", F.col("seats").alias("quota_blocks"), F.expr("words div z").alias("passes"), (F.col("words") % F.col("z")).alias("run"), first.alias("first"), "z")
 
 
-def mix_sources(docs: DataFrame, size: Column | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix_sources(docs: DataFrame, size: Column | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row: ``row`` (a struct of all its columns), size, source_size, target, taken, and where
     the taken words lie: ``passes`` whole copies, then words [lo1, hi1) and [lo2, hi2)."""
+    work = scratch.Scratch(docs.sparkSession, "mixing")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    base = docs.select(F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")).alias("k"), key.alias("key"), (size if size is not None else n_words(F.col(text_col))).alias("size"))
-    base = base.withColumn("shard", _hex(F.col("key"), 1) % shards)
-    cells = base.groupBy("k", "shard").agg(F.sum("size").alias("z"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")).alias("k"), key.alias("key"), (size if size is not None else n_words(F.col(text_col))).alias("size"))
+    rows = work.save(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    shards = max(shards, rows.count() // shard_rows)
+    base = rows.select("rid", "k", "key", "size", (_hex(F.col("key"), 1) % shards).alias("shard"))
+    cells = work.save(base.groupBy("k", "shard").agg(F.sum("size").alias("z")), "cells")
     sources = plan_sources(cells.groupBy("k").agg(F.sum("z").alias("size")), weights, max_repeat)
     plan = quotas(cells, sources, max_repeat, seed, block_words)
-    order = W.partitionBy("k", "shard").orderBy("key", "size").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("k", "shard").orderBy("key", "size", "rid").rowsBetween(W.unboundedPreceding, 0)
     at = base.withColumn("to", F.sum("size").over(order)).withColumn("at", F.col("to") - F.col("size"))
     out = at.join(plan, ["k", "shard"], "left").join(sources.select("k", F.col("source_size").alias("s_size"), F.col("target").alias("s_target")), "k")
     end = F.col("first") + F.col("run")
@@ -102,7 +110,8 @@ def mix_sources(docs: DataFrame, size: Column | None = None, *, id_col: str = "d
     lo2, hi2 = clip(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), end - F.col("z")))
     out = out.withColumns({"lo1": lo1, "hi1": F.greatest(lo1, hi1), "lo2": lo2, "hi2": F.greatest(lo2, hi2)})
     taken = F.coalesce(F.col("passes") * F.col("size") + (F.col("hi1") - F.col("lo1")) + (F.col("hi2") - F.col("lo2")), F.lit(0)).cast("long")
-    return out.select("row", "size", F.col("s_size").cast("long").alias("source_size"), F.col("s_target").alias("target"), taken.alias("taken"), F.coalesce("passes", F.lit(0)).cast("long").alias("passes"), "lo1", "hi1", "lo2", "hi2", F.coalesce("quota_blocks", F.lit(0)).alias("quota_blocks"))
+    out = out.select("rid", "size", F.col("s_size").cast("long").alias("source_size"), F.col("s_target").alias("target"), taken.alias("taken"), F.coalesce("passes", F.lit(0)).cast("long").alias("passes"), "lo1", "hi1", "lo2", "hi2", F.coalesce("quota_blocks", F.lit(0)).alias("quota_blocks"))
+    return rows.select("rid", "row").join(out, "rid").drop("rid")
 
 
 def materialise(mixed: DataFrame, docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -134,7 +143,7 @@ WITH base AS (
   SELECT doc_id, coalesce('s' || source, 't') AS k, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
-b AS (SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % {SHARDS} AS shard FROM base),
+b AS (SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % (SELECT greatest({SHARDS}, count(*) // {SHARD_ROWS}) FROM documents) AS shard FROM base),
 cells AS (SELECT k, shard, CAST(sum(size) AS BIGINT) AS z FROM b GROUP BY k, shard),
 s0 AS (SELECT k, CAST(sum(z) AS BIGINT) AS size FROM cells GROUP BY k),
 s1 AS (SELECT *, 1 + (row_number() OVER (ORDER BY k) - 1) % 3 AS weight, size * {MAX_REPEAT} AS cap, CAST(sum(size) OVER () AS BIGINT) AS total FROM s0),
@@ -143,7 +152,7 @@ s2 AS (SELECT *, coalesce(CAST(sum(cap) OVER (ORDER BY cap * (6 // weight), k RO
 s3 AS (SELECT *, cap * rest < weight * (total - before) AS capped FROM s2),
 s4 AS (SELECT *, total - coalesce(CAST(sum(CASE WHEN capped THEN cap END) OVER () AS BIGINT), 0) AS open, CAST(sum(CASE WHEN NOT capped THEN weight END) OVER () AS BIGINT) AS oweight FROM s3),
 s AS (SELECT k, size AS source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(weight * open AS DOUBLE) / CAST(oweight AS DOUBLE) END AS target,
-        CAST(greatest(1, least({BLOCK_WORDS}, total // 10000)) AS BIGINT) AS block FROM s4),
+        CAST({BLOCK_WORDS} AS BIGINT) AS block FROM s4),
 c0 AS (SELECT cells.k, shard, z, source_size, target, block, CAST(floor(target / block + 0.5) AS BIGINT) AS blocks FROM cells JOIN s ON cells.k = s.k WHERE z > 0),
 c1 AS (SELECT *, CAST((2 * CAST(blocks AS HUGEINT) * z + source_size) // (2 * source_size) AS BIGINT) AS seats0 FROM c0),
 c2 AS (SELECT *, blocks - CAST(sum(seats0) OVER (PARTITION BY k) AS BIGINT) AS lack FROM c1),
