@@ -66,16 +66,36 @@ def test_jaccard_on_a_family_of_near_copies(spark, words):
 
 
 def test_signatures_meet_for_every_similar_pair(words):
-    r, h = random.Random(3), jaccard.WordHashes()
-    for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 20, 33, 64, 65, 130, 513] * 3:
+    r, h, scheme = random.Random(3), jaccard.WordHashes(), jaccard.Scheme()
+    met = 0
+    for n in [*range(1, 40), 64, 65, 130, 513] * 12:
         w = r.choices(words, k=n + 4)
         v = list(w)
         for k in r.sample(range(len(v)), r.randint(0, 1 + n // 40)):
             v[k] = r.choice(words)
         v = v[: len(v) - r.randint(0, n // 6)]
         a, b = (jaccard.shingles(" ".join(x), h) for x in (w, v))
-        if jaccard.similar(a, b, 80):
-            assert set(jaccard.signatures(a).tolist()) & set(jaccard.signatures(b).tolist())
+        if jaccard.similar(a, b, 80) and len(np.setxor1d(a, b)):
+            met += 1
+            assert set(scheme.of(a).tolist()) & set(scheme.of(b).tolist())
+    assert met > 100
+    few = [np.array(sorted(r.sample(range(1 << 60), n)), dtype=np.uint64) for n in (20, 60, 200) for _ in range(40)]
+    sigs = [set(scheme.of(s).tolist()) for s in few]
+    assert not any(x & y for i, x in enumerate(sigs) for y in sigs[:i])  # nothing met by emptiness
+
+
+def test_sets_that_differ_as_far_as_allowed_meet():
+    r, scheme = random.Random(8), jaccard.Scheme()
+    for n in [*range(5, 60), 100, 333] * 6:
+        base = r.sample(range(1 << 60), n)
+        for more in range(0, n // 4 + 1):
+            gone = jaccard.most_apart(n, n + more, 80) - more  # elements to leave out of the other set
+            if gone < 0:
+                break
+            other = base[gone:] + r.sample(range(1 << 60), more)
+            a, b = (np.array(sorted(x), dtype=np.uint64) for x in (base, other))
+            if jaccard.similar(a, b, 80) and len(np.setxor1d(a, b)):
+                assert set(scheme.of(a).tolist()) & set(scheme.of(b).tolist())
 
 
 def test_one_per_group_keeps_clean_rows(corpus, pairs_of):
