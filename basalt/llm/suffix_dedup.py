@@ -46,7 +46,7 @@ GRAM = 40
 HOT = 1024
 CHUNK = 1 << 20
 SLICE_BYTES = 400_000
-TASK_BYTES = 1_200_000
+TASK_BYTES = 1_000_000
 LONG_RUN = 1000
 
 _U = np.uint64
