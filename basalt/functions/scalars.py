@@ -31,8 +31,14 @@ def money(c: Column) -> Column:
     return c.cast("decimal(12,2)")
 
 
-def rate(c: Column) -> Column:
-    return c.cast("decimal(4,2)")
+def cents(c: Column) -> Column:
+    """An amount with two decimal places as a whole number of hundredths."""
+    return F.rint(c * 100).cast("long")
+
+
+def amount(c: Column) -> Column:
+    """Hundredths as double."""
+    return c / F.lit(100.0)
 
 
 def sum0(c: Column) -> Column:
@@ -45,6 +51,35 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def to_timestamp(c: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Text to a timestamp in the session's time zone; text that is none, or of another form, is NULL."""
+    return F.try_to_timestamp(clean_text(c), F.lit(pattern))
+
+
+def short_number(c: Column) -> Column:
+    """An exact number as text with one decimal: 1.2M, 12.3k, 7.0 (halves away from zero)."""
+    d = c.cast("decimal(24,2)")
+    one = lambda n: F.round(d / F.lit(n).cast("decimal(8,0)"), 1).cast("decimal(20,1)").cast("string")
+    return F.when(F.abs(d) >= 1_000_000, F.concat(one(1_000_000), F.lit("M"))).when(F.abs(d) >= 1000, F.concat(one(1000), F.lit("k"))).otherwise(one(1))
+
+
+def escape_xml(c: Column) -> Column:
+    """Text for an XML document: the five reserved characters as entities."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(char), F.lit(name))
+    return c
+
+
+def blend(low: str, high: str, t: Column) -> Column:
+    """A colour #rrggbb between two, ``t`` held in 0 to 1; channels are rounded half up."""
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    parts = []
+    for i in (1, 3, 5):
+        a, b = int(low[i : i + 2], 16), int(high[i : i + 2], 16)
+        parts.append(F.lpad(F.lower(F.hex(F.floor(F.lit(float(a)) + t * float(b - a) + 0.5).cast("long"))), 2, "0"))
+    return F.concat(F.lit("#"), *parts)
+
+
 def month_key(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 

@@ -5,10 +5,14 @@ Bounds are one-row aggregates joined back; no table is gathered.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from basalt.operators import relational as R
+
 
 def _bin(value: Column, bins: int) -> Column:
     """Equal-width bin of a value; the greatest value falls in the last bin."""
@@ -57,16 +61,79 @@ def slope(df: DataFrame, label: str, value: str, late: Column) -> DataFrame:
 def pareto(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, position, running, share): cumulative share from the largest down.
 
-    Input is one row per key, already aggregated.
+    Input is one row per key, already aggregated; ranges of it are ordered and summed in parallel.
     """
-    w = W.orderBy(F.desc(value), key).rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = df.select(key, value, F.row_number().over(W.orderBy(F.desc(value), key)).alias("position"), F.sum(value).over(w).alias("running"))
+    t = R.in_global_order(df.select(key, value), [(value, True), (key, False)], total=value)
+    inside = W.partitionBy("__part").orderBy("__i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = t.select(key, value, (F.col("__before") + F.col("__i") + 1).alias("position"), (F.col("__sum") + F.sum(value).over(inside)).alias("running"))
     total = df.agg(F.sum(value).alias("__total"))
     return t.crossJoin(F.broadcast(total)).withColumn("share", F.col("running").cast("double") / F.col("__total").cast("double")).drop("__total")  # one row
 
 
+def quantiles(df: DataFrame, value: str, names: dict[str, float], by: Sequence[str] = (), cells: int = 1000) -> DataFrame:
+    """Exact quantiles, interpolated between neighbours: a column for each name, one row for each
+    group (one in all without ``by``; an empty table has none then).
+
+    Values are counted, and a rank is looked for only in the cell that holds it: bounds of cells come
+    from approximate percentiles, whose errors make cells unequal and results no less exact. So a task
+    holds about a ``cells``-th of the distinct values instead of all of them.
+    """
+    group = F.struct(F.lit(0).alias("__all"), *by)  # one key, whose NULLs are equal
+    rows = df.filter(F.col(value).isNotNull()).select(group.alias("__g"), F.col(value).cast("double").alias("__v"))
+    counted = rows.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    steps = [i / cells for i in range(1, cells)]
+    bounds = rows.groupBy("__g").agg(F.percentile_approx("__v", steps, 10 * cells).alias("__b"), F.count(F.lit(1)).alias("__rows"))
+    celled = counted.join(bounds, "__g").select("__g", "__v", "__n", "__rows", F.size(F.filter("__b", lambda x: x < F.col("__v"))).alias("__cell"))
+    sums = celled.groupBy("__g", "__cell", "__rows").agg(F.sum("__n").alias("__m"))
+    upto = F.sum("__m").over(W.partitionBy("__g").orderBy("__cell"))  # at most ``cells`` rows for each group
+    sums = sums.withColumn("__first", upto - F.col("__m")).withColumn("__last", upto - 1)
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(p) * (F.col("__rows") - 1)).alias("at")) for n, p in names.items()])
+    asked = sums.withColumn("__q", F.explode(wanted)).withColumn("__k", F.explode(F.array_distinct(F.array(F.floor("__q.at"), F.ceil("__q.at")))))
+    asked = asked.filter((F.col("__k") >= F.col("__first")) & (F.col("__k") <= F.col("__last")))
+    asked = asked.select("__g", "__cell", "__first", F.col("__q.name").alias("__name"), F.col("__q.at").alias("__at"), "__k")
+    inside = celled.join(asked.select("__g", "__cell", "__first").distinct(), ["__g", "__cell"])
+    top = F.sum("__n").over(W.partitionBy("__g", "__cell").orderBy("__v"))
+    inside = inside.select("__g", "__cell", "__v", "__n", (F.col("__first") + top - 1).alias("__to"))
+    hit = asked.join(inside, ["__g", "__cell"]).filter("__k <= __to and __k > __to - __n")
+    two = hit.groupBy("__g", "__name", "__at").agg(F.min_by("__v", "__k").alias("__lo"), F.max_by("__v", "__k").alias("__hi"))
+    one = two.withColumn("__r", F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__at") - F.floor("__at")))
+    one = one.groupBy("__g").agg(*[F.max(F.when(F.col("__name") == n, F.col("__r"))).alias(n) for n in names])
+    return one.select(*[F.col(f"__g.{k}").alias(k) for k in by], *names)
+
+
 def describe(df: DataFrame, value: str) -> DataFrame:
     """count, mean, sample deviation, least, quartiles (interpolated), greatest: one row."""
     c = F.col(value).cast("double")
-    q = lambda p: F.percentile(c, F.lit(p))
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(c).alias("greatest"))
+    one = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("greatest"))
+    q = quantiles(df, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    t = one.join(F.broadcast(q), F.lit(True), "left")  # one row each
+    return t.select("n", "mean", "std", "least", "p25", "p50", "p75", "greatest")
+
+
+def nice_ticks(df: DataFrame, lo: str, hi: str, count: int = 5) -> DataFrame:
+    """Rows with ``tick`` exploded: round values from lo to hi at steps of 1, 2 or 5 times a power of ten."""
+    top = F.when(F.col(hi) > F.col(lo), F.col(hi)).otherwise(F.col(lo) + 1)
+    rough = (top - F.col(lo)) / F.lit(float(count))
+    power = F.pow(F.lit(10.0), F.floor(F.log10(rough)))
+    least = rough * (1 - 1e-12)
+    step = F.when(power >= least, power).when(2 * power >= least, 2 * power).when(5 * power >= least, 5 * power).otherwise(10 * power)
+    t = df.withColumn("__step", step)
+    first, last = F.ceil(F.col(lo) / F.col("__step") - 1e-9), F.floor(top / F.col("__step") + 1e-9)
+    return t.withColumn("__k", F.explode(F.sequence(first, last))).withColumn("tick", F.col("__k") * F.col("__step")).drop("__k", "__step")
+
+
+def sparkline(df: DataFrame, label: str, order: str, value: str) -> DataFrame:
+    """(label, line): a label's values in order as blocks of eight heights between its least and most."""
+    w = W.partitionBy(label)
+    lo, hi = F.min(value).over(w), F.max(value).over(w)
+    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
+    level = F.least(F.lit(7), F.floor((F.col(value) - lo) / span * 7.999)).cast("int")
+    t = df.select(label, F.struct(F.col(order), F.substring(F.lit("▁▂▃▄▅▆▇█"), level + 1, F.lit(1)).alias("b")).alias("x"))
+    return t.groupBy(label).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "").alias("line"))
+
+
+def bars(df: DataFrame, label: str, value: str, length: float = 260.0) -> DataFrame:
+    """(label, value, extent): how long a bar is when the largest has ``length``."""
+    top = df.agg(F.max(F.abs(value)).alias("__top"))
+    t = df.crossJoin(F.broadcast(top))  # one row
+    return t.select(label, value, (F.abs(value) / F.when(F.col("__top") > 0, F.col("__top")).otherwise(F.lit(1.0)) * length).alias("extent"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.storagelevel import StorageLevel
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> None:
@@ -88,6 +89,34 @@ def row_number(df: DataFrame, partition: Sequence[str], order: Sequence[tuple[st
     return df.withColumn(name, F.row_number().over(_window(partition, order)))
 
 
+def in_global_order(df: DataFrame, order: Sequence[tuple[str, bool]], total: str | None = None) -> DataFrame:
+    """Rows with ``__part``, ``__i`` (the row's place in its part, from 0) and ``__before`` (the rows in
+    earlier parts; with ``total``, also ``__sum``, that column's sum over earlier parts).
+
+    Parts are ranges of the order, sorted each in its own task, so nothing gathers the whole table;
+    only one row for each part is brought together. Parts are kept on disk, since a second range
+    partitioning may choose other bounds; a lost part is made again with the same ones.
+    """
+    require(df, [c for c, _ in order])
+    keys = [sort_key(c, d) for c, d in order]
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()
+    parts = parts.withColumn("__part", F.shiftright(at, 33).cast("int")).withColumn("__i", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    parts = parts.persist(StorageLevel.DISK_ONLY)
+    value = F.sum(F.coalesce(F.col(total), F.lit(0))) if total else F.lit(0)
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), value.alias("__v"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row for each part
+    zero = F.lit(0)
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(before), zero).alias("__before"), *([F.coalesce(F.sum("__v").over(before), zero).alias("__sum")] if total else []))
+    return parts.join(F.broadcast(sizes), "__part")  # as many rows as partitions
+
+
+def global_row_number(df: DataFrame, order: Sequence[tuple[str, bool]], name: str = "row_num") -> DataFrame:
+    """Row numbers over the whole table; the order needs a unique last key to be repeatable."""
+    t = in_global_order(df, order)
+    return t.select(*df.columns, (F.col("__before") + F.col("__i") + 1).alias(name))
+
+
 def rank(df: DataFrame, partition: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "rank") -> DataFrame:
     """Ranks with gaps; NULLs tie with each other."""
     return df.withColumn(name, F.rank().over(_window(partition, order)))

@@ -9,7 +9,7 @@ from basalt.functions import scalars as S
 from basalt.operators import cleaning as C
 from basalt.operators import distribution as D
 from basalt.operators import relational as R
-from basalt.sources.tables import SALES_SQL, sales, table
+from basalt.sources.tables import SALES_SQL, order_totals, sales, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -38,8 +38,8 @@ def rev():
 
 @query(f"WITH {SALES_SQL} SELECT n_name, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def revenue_by_nation_top10(spark, d):
-    g = sales(spark, d).groupBy("n_name").agg(rev().alias("r"))
-    return g.orderBy(F.desc("r"), "n_name").limit(10).select("n_name", dbl(F.col("r")).alias("revenue"))
+    g = order_totals(spark, d).groupBy("n_name").agg(rev().alias("r"))
+    return g.orderBy(F.desc("r"), "n_name").limit(10).select("n_name", S.amount(F.col("r")).alias("revenue"))
 
 
 @query(f"WITH {SALES_SQL} SELECT l_partkey, p_name, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(l_quantity) AS BIGINT) AS units FROM sales JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 20")
@@ -47,17 +47,17 @@ def top_products(spark, d):
     g = sales(spark, d).groupBy("l_partkey").agg(rev().alias("r"), F.sum("l_quantity").cast("long").alias("units"))
     g = g.orderBy(F.desc("r"), "l_partkey").limit(20)
     p = table(spark, d, "part")
-    return g.join(p, g.l_partkey == p.p_partkey).select("l_partkey", "p_name", dbl(F.col("r")).alias("revenue"), "units")
+    return g.join(p, g.l_partkey == p.p_partkey).select("l_partkey", "p_name", S.amount(F.col("r")).alias("revenue"), "units")
 
 
 @query(f"WITH {SALES_SQL} SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY 1")
 def monthly_revenue(spark, d):
-    return sales(spark, d).groupBy(S.month_key(F.col("o_orderdate")).alias("month")).agg(dbl(rev()).alias("revenue"))
+    return order_totals(spark, d).groupBy(S.month_key(F.col("o_orderdate")).alias("month")).agg(S.amount(rev()).alias("revenue"))
 
 
 @query(f"WITH {SALES_SQL} SELECT r_name, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY 1")
 def revenue_by_region(spark, d):
-    return sales(spark, d).groupBy("r_name").agg(dbl(rev()).alias("revenue"))
+    return order_totals(spark, d).groupBy("r_name").agg(S.amount(rev()).alias("revenue"))
 
 
 @query(f"""WITH {SALES_SQL}, g AS (SELECT n_name, strftime(o_orderdate, '%Y-%m') AS month, l_partkey, sum(revenue) AS r FROM sales GROUP BY 1, 2, 3)
@@ -65,20 +65,20 @@ def revenue_by_region(spark, d):
 def top3_products_nation_month(spark, d):
     g = sales(spark, d).groupBy("n_name", S.month_key(F.col("o_orderdate")).alias("month"), "l_partkey").agg(rev().alias("r"))
     t = R.top_n(g, ["n_name", "month"], [("r", True), ("l_partkey", False)], 3, "k")
-    return t.select("n_name", "month", "l_partkey", dbl(F.col("r")).alias("revenue"), F.col("k").cast("long").alias("k"))
+    return t.select("n_name", "month", "l_partkey", S.amount(F.col("r")).alias("revenue"), F.col("k").cast("long").alias("k"))
 
 
 @query(f"""WITH {SALES_SQL}, g AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(revenue) AS r FROM sales GROUP BY 1)
   SELECT month, CAST(sum(r) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running FROM g""")
 def cumulative_revenue(spark, d):
-    g = sales(spark, d).groupBy(S.month_key(F.col("o_orderdate")).alias("month")).agg(rev().alias("r"))
-    return R.running_sum(g, "r", [], [("month", False)], "s").select("month", dbl(F.col("s")).alias("running"))
+    g = order_totals(spark, d).groupBy(S.month_key(F.col("o_orderdate")).alias("month")).agg(rev().alias("r"))
+    return R.running_sum(g, "r", [], [("month", False)], "s").select("month", S.amount(F.col("s")).alias("running"))
 
 
 @query(f"WITH {SALES_SQL}, g AS (SELECT n_name, sum(revenue) AS r FROM sales GROUP BY 1) SELECT n_name, CAST(r AS DOUBLE) AS revenue, 100 * CAST(r AS DOUBLE) / CAST(sum(r) OVER () AS DOUBLE) AS percent FROM g")
 def revenue_share(spark, d):
-    g = sales(spark, d).groupBy("n_name").agg(rev().alias("r"))
-    return R.partition_sum(g, "r", [], "t").select("n_name", dbl(F.col("r")).alias("revenue"), (100 * dbl(F.col("r")) / dbl(F.col("t"))).alias("percent"))
+    g = order_totals(spark, d).groupBy("n_name").agg(rev().alias("r"))
+    return R.partition_sum(g, "r", [], "t").select("n_name", S.amount(F.col("r")).alias("revenue"), (100 * S.amount(F.col("r")) / S.amount(F.col("t"))).alias("percent"))
 
 
 # ---- warehouse questions -----------------------------------------------------------------------
@@ -88,29 +88,29 @@ SOLD = "o_orderstatus <> 'P'"
 
 @query(f"""WITH {SALES_SQL} SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(sum(revenue) AS DOUBLE) AS revenue, count(DISTINCT o_orderkey) AS orders, CAST(sum(revenue) AS DOUBLE) / count(DISTINCT o_orderkey) AS aov FROM sales WHERE {SOLD} GROUP BY 1, 2""")
 def monthly_orders_aov(spark, d):
-    g = sales(spark, d).filter(SOLD).groupBy(F.year("o_orderdate").cast("long").alias("y"), F.month("o_orderdate").cast("long").alias("m"))
-    return g.agg(dbl(rev()).alias("revenue"), F.countDistinct("o_orderkey").alias("orders"), S.ratio(rev(), F.countDistinct("o_orderkey")).alias("aov"))
+    g = order_totals(spark, d).filter(SOLD).groupBy(F.year("o_orderdate").cast("long").alias("y"), F.month("o_orderdate").cast("long").alias("m"))
+    return g.agg(S.amount(rev()).alias("revenue"), F.count(F.lit(1)).alias("orders"), S.ratio(S.amount(rev()), F.count(F.lit(1))).alias("aov"))
 
 
 @query(f"""WITH {SALES_SQL}, g AS (SELECT p_type, year(o_orderdate) AS y, quarter(o_orderdate) AS q, CAST(sum(revenue) AS DOUBLE) AS r FROM sales JOIN part ON l_partkey = p_partkey WHERE {SOLD} GROUP BY 1, 2, 3)
   SELECT p_type, y, q, r AS revenue, 100 * (r - lag(r) OVER w) / lag(r) OVER w AS growth FROM g WINDOW w AS (PARTITION BY p_type ORDER BY y, q)""")
 def category_quarter_growth(spark, d):
     j = sales(spark, d).filter(SOLD).join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    g = j.groupBy("p_type", F.year("o_orderdate").cast("long").alias("y"), F.quarter("o_orderdate").cast("long").alias("q")).agg(dbl(rev()).alias("revenue"))
+    g = j.groupBy("p_type", F.year("o_orderdate").cast("long").alias("y"), F.quarter("o_orderdate").cast("long").alias("q")).agg(S.amount(rev()).alias("revenue"))
     before = F.lag("revenue").over(W.partitionBy("p_type").orderBy("y", "q"))
     return g.withColumn("growth", 100 * (F.col("revenue") - before) / before)
 
 
 @query(f"WITH {SALES_SQL} SELECT c_custkey, c_name, CAST(sum(revenue) AS DOUBLE) AS revenue, count(DISTINCT o_orderkey) AS orders FROM sales WHERE {SOLD} GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10")
 def top10_customers(spark, d):
-    g = sales(spark, d).filter(SOLD).groupBy("c_custkey", "c_name").agg(rev().alias("r"), F.countDistinct("o_orderkey").alias("orders"))
-    return g.orderBy(F.desc("r"), "c_custkey").limit(10).select("c_custkey", "c_name", dbl(F.col("r")).alias("revenue"), "orders")
+    g = order_totals(spark, d).filter(SOLD).groupBy("c_custkey", "c_name").agg(rev().alias("r"), F.count(F.lit(1)).alias("orders"))
+    return g.orderBy(F.desc("r"), "c_custkey").limit(10).select("c_custkey", "c_name", S.amount(F.col("r")).alias("revenue"), "orders")
 
 
 @query(f"""WITH {SALES_SQL}, g AS (SELECT CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS kind, sum(revenue) AS r FROM sales WHERE {SOLD} GROUP BY 1) SELECT kind, CAST(r AS DOUBLE) AS revenue, 100 * CAST(r AS DOUBLE) / (SELECT CAST(sum(r) AS DOUBLE) FROM g) AS percent FROM g""")
 def weekend_share(spark, d):
-    g = sales(spark, d).filter(SOLD).groupBy(F.when(S.is_weekend(F.col("o_orderdate")), "weekend").otherwise("weekday").alias("kind")).agg(rev().alias("r"))
-    return R.partition_sum(g, "r", [], "t").select("kind", dbl(F.col("r")).alias("revenue"), (100 * dbl(F.col("r")) / dbl(F.col("t"))).alias("percent"))
+    g = order_totals(spark, d).filter(SOLD).groupBy(F.when(S.is_weekend(F.col("o_orderdate")), "weekend").otherwise("weekday").alias("kind")).agg(rev().alias("r"))
+    return R.partition_sum(g, "r", [], "t").select("kind", S.amount(F.col("r")).alias("revenue"), (100 * S.amount(F.col("r")) / S.amount(F.col("t"))).alias("percent"))
 
 
 GROSS = "CAST(l_extendedprice AS DECIMAL(12,2))"
@@ -119,9 +119,9 @@ GROSS = "CAST(l_extendedprice AS DECIMAL(12,2))"
 @query(f"""WITH {SALES_SQL} SELECT p_type, CAST(sum({GROSS}) AS DOUBLE) AS gross, CAST(sum({GROSS} - revenue) AS DOUBLE) AS leaked, 100 * CAST(sum({GROSS} - revenue) AS DOUBLE) / nullif(CAST(sum({GROSS}) AS DOUBLE), 0) AS percent FROM sales JOIN part ON l_partkey = p_partkey WHERE {SOLD} GROUP BY 1""")
 def discount_leakage(spark, d):
     j = sales(spark, d).filter(SOLD).join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    gross = S.money(F.col("l_extendedprice"))
+    gross = S.cents(F.col("l_extendedprice"))
     g = j.groupBy("p_type").agg(F.sum(gross).alias("g"), F.sum(gross - F.col("revenue")).alias("k"))
-    return g.select("p_type", dbl(F.col("g")).alias("gross"), dbl(F.col("k")).alias("leaked"), F.try_divide(100 * dbl(F.col("k")), dbl(F.col("g"))).alias("percent"))
+    return g.select("p_type", S.amount(F.col("g")).alias("gross"), S.amount(F.col("k")).alias("leaked"), F.try_divide(100 * S.amount(F.col("k")), S.amount(F.col("g"))).alias("percent"))
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, count(*) AS n, 100.0 * CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY strftime(o_orderdate, '%Y-%m')) AS DOUBLE) AS percent FROM orders GROUP BY 1, 2")
@@ -204,14 +204,15 @@ def most_returned(spark, d):
 @query(f"""WITH {RETAIL_SQL}, b AS (SELECT invoice, CAST(sum(revenue) AS DOUBLE) AS v FROM safe GROUP BY 1) SELECT count(*) AS n, CAST(round(avg(v), 4) AS DOUBLE) AS mean, median(v) AS med, quantile_cont(v, 0.99) AS p99 FROM b""")
 def basket_distribution(spark, d):
     b = safe(spark, d).groupBy("invoice").agg(dbl(rev()).alias("v"))
-    return b.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.median("v").alias("med"), F.percentile("v", F.lit(0.99)).alias("p99"))
+    one = b.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"))
+    return one.join(F.broadcast(D.quantiles(b, "v", {"med": 0.5, "p99": 0.99})), F.lit(True), "left")  # one row each
 
 
 @query(f"""WITH {RETAIL_SQL}, b AS (SELECT invoice, CAST(sum(revenue) AS DOUBLE) AS v FROM safe GROUP BY 1), q AS (SELECT quantile_cont(v, 0.99) AS p FROM b), c AS (SELECT CASE WHEN v > p THEN p ELSE v END AS v FROM b, q), m AS (SELECT min(v) AS lo, max(v) AS hi FROM c)
   SELECT CAST(least(29, floor((v - lo) / ((hi - lo) / 30))) AS INTEGER) AS bin, count(*) AS n FROM c, m GROUP BY 1""")
 def basket_histogram(spark, d):
     b = safe(spark, d).groupBy("invoice").agg(dbl(rev()).alias("v"))
-    top = b.agg(F.percentile("v", F.lit(0.99)).alias("p"))
+    top = D.quantiles(b, "v", {"p": 0.99})
     return D.histogram(b.crossJoin(F.broadcast(top)).select(S.clip_upper(F.col("v"), F.col("p")).alias("v")), "v", 30)  # one row
 
 

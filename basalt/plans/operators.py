@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from basalt.functions import scalars as S
 from basalt.operators import distribution as D
 from basalt.operators import relational as R
-from basalt.sources.tables import REVENUE_SQL, SALES_SQL, net_revenue, sales, table
+from basalt.sources.tables import REVENUE_SQL, SALES_SQL, net_revenue, order_totals, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,7 +61,7 @@ def where_between_null(spark, d):
 
 @query(f"SELECT l_orderkey, l_linenumber, CAST({REVENUE_SQL} AS DOUBLE) AS revenue FROM lineitem")
 def extend_revenue(spark, d):
-    return R.extend(table(spark, d, "lineitem"), "revenue", dbl(net_revenue())).select("l_orderkey", "l_linenumber", "revenue")
+    return R.extend(table(spark, d, "lineitem"), "revenue", S.amount(net_revenue())).select("l_orderkey", "l_linenumber", "revenue")
 
 
 @query("""SELECT CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n,
@@ -143,10 +143,10 @@ def join_full_outer_diff(spark, d):
     return j.filter(F.abs(F.col("customers") - F.col("suppliers")) > 1)
 
 
-@query("""WITH l AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS k FROM orders WHERE o_orderkey % 50 = 0), r AS (SELECT nullif(s, 'P') AS k, w FROM (VALUES ('F', 1), ('O', 2), ('P', 3)) AS v(s, w))
+@query("""WITH l AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS k FROM orders), r AS (SELECT nullif(s, 'P') AS k, w FROM (VALUES ('F', 1), ('O', 2), ('P', 3)) AS v(s, w))
   SELECT o_orderkey, l.k AS k, w FROM l JOIN r ON l.k IS NOT DISTINCT FROM r.k""")
 def join_null_safe(spark, d):
-    left = table(spark, d, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("k"))
+    left = table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("k"))
     right = spark.createDataFrame([("F", 1), ("O", 2), (None, 3)], "k string, w int")
     return R.join(left, right, "k", "k").select("o_orderkey", "k", "w")
 
@@ -186,9 +186,9 @@ def map_lookup_region(spark, d):
 @query(f"""WITH {SALES_SQL}, t AS (SELECT r_name, CAST(coalesce(sum(CASE WHEN month(o_orderdate) <= 6 THEN revenue END), 0) AS DOUBLE) AS h1, CAST(coalesce(sum(CASE WHEN month(o_orderdate) > 6 THEN revenue END), 0) AS DOUBLE) AS h2 FROM sales GROUP BY 1)
   SELECT *, h1 + h2 AS total FROM t""")
 def outer_align_halves(spark, d):
-    s = sales(spark, d)
+    s = order_totals(spark, d)
     late = F.month("o_orderdate") > 6
-    return s.groupBy("r_name").agg(dbl(S.sum0(F.when(~late, F.col("revenue")))).alias("h1"), dbl(S.sum0(F.when(late, F.col("revenue")))).alias("h2")).withColumn("total", F.col("h1") + F.col("h2"))
+    return s.groupBy("r_name").agg(S.amount(S.sum0(F.when(~late, F.col("revenue")))).alias("h1"), S.amount(S.sum0(F.when(late, F.col("revenue")))).alias("h2")).withColumn("total", F.col("h1") + F.col("h2"))
 
 
 # ---- aggregation -------------------------------------------------------------------------------
@@ -219,7 +219,7 @@ def agg_conditional(spark, d):
 
 @query("SELECT o_orderpriority, median(o_totalprice) AS med, quantile_cont(o_totalprice, 0.99) AS p99 FROM orders GROUP BY 1")
 def agg_median_p99(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("med"), F.percentile("o_totalprice", F.lit(0.99)).alias("p99"))
+    return D.quantiles(table(spark, d, "orders"), "o_totalprice", {"med": 0.5, "p99": 0.99}, by=["o_orderpriority"])
 
 
 @query("SELECT count(l_quantity) AS n, avg(l_quantity) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS least, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.75) AS p75, max(l_quantity) AS greatest FROM lineitem")
@@ -250,7 +250,7 @@ def agg_two_stage_region(spark, d):
 
 @query(f"WITH {SALES_SQL} SELECT n_name, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY 1 HAVING sum(revenue) > 100000")
 def having_threshold(spark, d):
-    return sales(spark, d).groupBy("n_name").agg(F.sum("revenue").alias("revenue")).filter("revenue > 100000").select("n_name", dbl(F.col("revenue")).alias("revenue"))
+    return order_totals(spark, d).groupBy("n_name").agg(S.amount(F.sum("revenue")).alias("revenue")).filter("revenue > 100000")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS of_status FROM orders GROUP BY 1, 2")
@@ -358,7 +358,7 @@ def pareto_cumulative(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY c_custkey) AS customer_key, c_custkey FROM customer")
 def win_surrogate_key(spark, d):
-    return table(spark, d, "customer").select(F.row_number().over(W.orderBy("c_custkey")).cast("long").alias("customer_key"), "c_custkey")
+    return R.global_row_number(table(spark, d, "customer").select("c_custkey"), [("c_custkey", False)], "customer_key")
 
 
 @query("""WITH g AS (SELECT p_type, p_size, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_type, p_size, n, row_number() OVER w AS rn, rank() OVER (PARTITION BY p_type ORDER BY n DESC) AS rk, dense_rank() OVER (PARTITION BY p_type ORDER BY n DESC) AS dr
@@ -378,17 +378,17 @@ def topk_orders(spark, d):
 
 
 def _nullable(spark, d):
-    return table(spark, d, "orders").filter("o_orderkey <= 400").select("o_orderkey", F.nullif(F.col("o_orderpriority"), F.lit("3-MEDIUM")).alias("v"))
+    return table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderpriority"), F.lit("3-MEDIUM")).alias("v"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderpriority, '3-MEDIUM') NULLS LAST, o_orderkey) AS pos FROM orders WHERE o_orderkey <= 400")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderpriority, '3-MEDIUM') NULLS LAST, o_orderkey) AS pos FROM orders")
 def order_nulls_asc(spark, d):
-    return R.row_number(_nullable(spark, d), [], [("v", False), ("o_orderkey", False)], "pos").select("o_orderkey", F.col("pos").cast("long").alias("pos"))
+    return R.global_row_number(_nullable(spark, d), [("v", False), ("o_orderkey", False)], "pos").select("o_orderkey", "pos")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderpriority, '3-MEDIUM') DESC NULLS FIRST, o_orderkey) AS pos FROM orders WHERE o_orderkey <= 400")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderpriority, '3-MEDIUM') DESC NULLS FIRST, o_orderkey) AS pos FROM orders")
 def order_nulls_desc(spark, d):
-    return R.row_number(_nullable(spark, d), [], [("v", True), ("o_orderkey", False)], "pos").select("o_orderkey", F.col("pos").cast("long").alias("pos"))
+    return R.global_row_number(_nullable(spark, d), [("v", True), ("o_orderkey", False)], "pos").select("o_orderkey", "pos")
 
 
 @query("SELECT n_name, n_regionkey, row_number() OVER (ORDER BY abs(n_regionkey - 2) DESC, n_name) AS pos FROM nation")
@@ -432,7 +432,7 @@ def quarter_label(spark, d):
 @query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.99) AS p FROM orders) SELECT o_orderkey, CASE WHEN o_totalprice > p THEN p ELSE o_totalprice END AS clipped FROM orders, q")
 def clip_p99(spark, d):
     o = table(spark, d, "orders")
-    top = o.agg(F.percentile("o_totalprice", F.lit(0.99)).alias("p"))
+    top = D.quantiles(o, "o_totalprice", {"p": 0.99})
     return o.crossJoin(F.broadcast(top)).select("o_orderkey", S.clip_upper(F.col("o_totalprice"), F.col("p")).alias("clipped"))  # one row
 
 

@@ -51,14 +51,13 @@ def dim_date(spark, d):
 def dim_customer(spark, d):
     t = lambda n: table(spark, d, n)
     j = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    key = F.row_number().over(W.orderBy("c_custkey")).cast("long")
-    return j.select(key.alias("customer_key"), "c_custkey", "c_name", "c_mktsegment", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    j = R.global_row_number(j, [("c_custkey", False)], "customer_key")
+    return j.select("customer_key", "c_custkey", "c_name", "c_mktsegment", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
 
 
 @query("SELECT row_number() OVER (ORDER BY p_partkey) AS product_key, p_partkey, p_name, p_brand, p_type AS category, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS list_price FROM part")
 def dim_product(spark, d):
-    key = F.row_number().over(W.orderBy("p_partkey")).cast("long")
-    return table(spark, d, "part").select(key.alias("product_key"), "p_partkey", "p_name", "p_brand", F.col("p_type").alias("category"), dbl(S.money(F.col("p_retailprice"))).alias("list_price"))
+    return R.global_row_number(table(spark, d, "part"), [("p_partkey", False)], "product_key").select("product_key", "p_partkey", "p_name", "p_brand", F.col("p_type").alias("category"), dbl(S.money(F.col("p_retailprice"))).alias("list_price"))
 
 
 # ---- facts -------------------------------------------------------------------------------------
@@ -70,10 +69,10 @@ FACT_SQL = f"""fact AS (SELECT l_orderkey AS order_id, row_number() OVER (PARTIT
 
 
 def fact(spark, d) -> DataFrame:
-    """Grain: order line, with a derived line number since the given one repeats."""
+    """Grain: order line, with a derived line number since the given one repeats; amounts in cents."""
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     no = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", *ALL.split(", "))).cast("long")
-    lines = lines.withColumns({"line_no": no, "net": net_revenue(), "gross": S.money(F.col("l_extendedprice"))})
+    lines = lines.withColumns({"line_no": no, "net": net_revenue(), "gross": S.cents(F.col("l_extendedprice"))})
     j = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
         F.col("l_orderkey").alias("order_id"), "line_no", S.date_key(F.col("o_orderdate")).alias("date_key"), "o_custkey", "l_partkey", F.col("l_quantity").alias("quantity"), "gross",
@@ -86,17 +85,17 @@ def fact_sales(spark, d):
     f = fact(spark, d)
     f = f.join(dim_customer(spark, d).select("customer_key", "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     f = f.join(dim_product(spark, d).select("product_key", "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
-    return f.select("order_id", "line_no", "date_key", "customer_key", "product_key", "quantity", dbl(F.col("gross")).alias("gross_amount"), dbl(F.col("discount")).alias("discount_amount"), dbl(F.col("net")).alias("net_revenue"), "status")
+    return f.select("order_id", "line_no", "date_key", "customer_key", "product_key", "quantity", S.amount(F.col("gross")).alias("gross_amount"), S.amount(F.col("discount")).alias("discount_amount"), S.amount(F.col("net")).alias("net_revenue"), "status")
 
 
 @query(f"WITH {FACT_SQL} SELECT order_id, line_no, CAST(strftime(shipped, '%Y%m%d') AS INTEGER) AS date_key, o_custkey, l_partkey, CAST(ceil(quantity / 2) AS BIGINT) AS quantity, CAST(round(net * CAST(0.5 AS DECIMAL(2,1)), 2) AS DOUBLE) AS refund_amount FROM fact WHERE l_returnflag = 'R'")
 def fact_returns(spark, d):
-    return returns(fact(spark, d)).select("order_id", "line_no", S.date_key(F.col("returned")).alias("date_key"), "o_custkey", "l_partkey", "quantity", dbl(F.col("refund")).alias("refund_amount"))
+    return returns(fact(spark, d)).select("order_id", "line_no", S.date_key(F.col("returned")).alias("date_key"), "o_custkey", "l_partkey", "quantity", S.amount(F.col("refund")).alias("refund_amount"))
 
 
 def returns(f: DataFrame) -> DataFrame:
-    """Return lines: flagged order lines come back at their shipping date, half of each, rounded up."""
-    return f.filter("l_returnflag = 'R'").select("order_id", "line_no", "o_custkey", "l_partkey", F.col("shipped").alias("returned"), F.ceil(F.col("quantity") / 2).cast("long").alias("quantity"), F.round(F.col("net") * F.lit("0.5").cast("decimal(2,1)"), 2).alias("refund"))
+    """Return lines: flagged order lines come back at their shipping date, half of each, rounded up; amounts in cents."""
+    return f.filter("l_returnflag = 'R'").select("order_id", "line_no", "o_custkey", "l_partkey", F.col("shipped").alias("returned"), F.ceil(F.col("quantity") / 2).cast("long").alias("quantity"), F.floor((F.col("net") + 1) / 2.0).cast("long").alias("refund"))
 
 
 # ---- slowly changing history -------------------------------------------------------------------
@@ -148,21 +147,32 @@ def scd_lookup_at_date(spark, d):
     return scd(spark, d).filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") >= at))).select("o_custkey", "priority", "valid_from")
 
 
+def revenue_by_customer_day(spark, d) -> DataFrame:
+    """(o_custkey, ordered, net, lines): summed before it meets versions, so that a customer with many
+    lines brings one row for each of their days. Lines are summed by order first."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(net_revenue()).alias("net"), F.count(F.lit(1)).alias("lines"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("ordered"))
+    j = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("o_custkey", "ordered").agg(F.sum("net").alias("net"), F.sum("lines").alias("lines"))
+
+
 @query(f"WITH {FACT_SQL}, {SCD_SQL} SELECT priority, CAST(sum(net) AS DOUBLE) AS revenue, count(*) AS lines FROM fact JOIN scd ON fact.o_custkey = scd.o_custkey AND ordered >= valid_from AND (valid_to IS NULL OR ordered <= valid_to) GROUP BY 1")
 def join_point_in_time(spark, d):
-    j = R.point_in_time(fact(spark, d).select("o_custkey", "ordered", "net"), scd(spark, d), "o_custkey", "ordered")
-    return j.groupBy("priority").agg(dbl(F.sum("net")).alias("revenue"), F.count(F.lit(1)).alias("lines"))
+    j = R.point_in_time(revenue_by_customer_day(spark, d), scd(spark, d), "o_custkey", "ordered")
+    return j.groupBy("priority").agg(S.amount(F.sum("net")).alias("revenue"), F.sum("lines").alias("lines"))
 
 
 @query(f"""WITH {FACT_SQL}, {SCD_SQL}, a AS (SELECT priority, sum(net) AS v FROM fact JOIN scd ON fact.o_custkey = scd.o_custkey AND is_current GROUP BY 1), b AS (SELECT priority, sum(net) AS v FROM fact JOIN scd ON fact.o_custkey = scd.o_custkey AND ordered >= valid_from AND (valid_to IS NULL OR ordered <= valid_to) GROUP BY 1)
   SELECT coalesce(a.priority, b.priority) AS priority, CAST(coalesce(a.v, 0) AS DOUBLE) AS as_current, CAST(coalesce(b.v, 0) AS DOUBLE) AS as_was, CAST(coalesce(a.v, 0) - coalesce(b.v, 0) AS DOUBLE) AS delta FROM a FULL JOIN b ON a.priority = b.priority WHERE abs(coalesce(a.v, 0) - coalesce(b.v, 0)) > 0.005""")
 def current_vs_history(spark, d):
-    f, v = fact(spark, d).select("o_custkey", "ordered", "net"), scd(spark, d)
-    a = f.join(v.filter("is_current").select("o_custkey", "priority"), "o_custkey").groupBy("priority").agg(F.sum("net").alias("a"))
-    b = R.point_in_time(f, v, "o_custkey", "ordered").groupBy("priority").agg(F.sum("net").alias("b"))
-    zero = F.lit(0).cast("decimal(24,2)")
-    j = a.join(b, "priority", "full").select("priority", F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b")).filter(F.abs(F.col("a") - F.col("b")) > 0.005)
-    return j.select("priority", dbl(F.col("a")).alias("as_current"), dbl(F.col("b")).alias("as_was"), dbl(F.col("a") - F.col("b")).alias("delta"))
+    days = revenue_by_customer_day(spark, d)
+    was = R.point_in_time(days, scd(spark, d), "o_custkey", "ordered").groupBy("priority").agg(F.sum("net").alias("b"))
+    now = scd(spark, d).filter("is_current").select("o_custkey", "priority")
+    totals = days.groupBy("o_custkey").agg(F.sum("net").alias("net"))
+    a = totals.join(now, "o_custkey").groupBy("priority").agg(F.sum("net").alias("a"))
+    zero = F.lit(0).cast("long")
+    j = a.join(was, "priority", "full").select("priority", F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b")).filter("a <> b")
+    return j.select("priority", S.amount(F.col("a")).alias("as_current"), S.amount(F.col("b")).alias("as_was"), S.amount(F.col("a") - F.col("b")).alias("delta"))
 
 
 # ---- returns -----------------------------------------------------------------------------------
@@ -174,8 +184,8 @@ RETURNS_SQL = "returned AS (SELECT order_id, line_no, l_partkey, shipped AS retu
   SELECT month, CAST(s.v AS DOUBLE) AS sold, CAST(b.v AS DOUBLE) AS refunded, 100 * CAST(b.v AS DOUBLE) / CAST(s.v AS DOUBLE) AS percent FROM s JOIN b USING (month)""")
 def refund_rate_month(spark, d):
     f = fact(spark, d)
-    s = f.filter("status <> 'P'").groupBy(S.month_key(F.col("ordered")).alias("month")).agg(dbl(F.sum("net")).alias("sold"))
-    b = returns(f).groupBy(S.month_key(F.col("returned")).alias("month")).agg(dbl(F.sum("refund")).alias("refunded"))
+    s = f.filter("status <> 'P'").groupBy(S.month_key(F.col("ordered")).alias("month")).agg(S.amount(F.sum("net")).alias("sold"))
+    b = returns(f).groupBy(S.month_key(F.col("returned")).alias("month")).agg(S.amount(F.sum("refund")).alias("refunded"))
     return s.join(b, "month").withColumn("percent", 100 * F.col("refunded") / F.col("sold"))
 
 
@@ -183,8 +193,8 @@ def refund_rate_month(spark, d):
   SELECT p_type, CAST(s.v AS DOUBLE) AS sold, CAST(b.v AS DOUBLE) AS refunded, 100 * CAST(b.v AS DOUBLE) / CAST(s.v AS DOUBLE) AS percent FROM s JOIN b USING (p_type)""")
 def refund_rate_category(spark, d):
     f, p = fact(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    s = f.filter("status <> 'P'").join(p, "l_partkey").groupBy("p_type").agg(dbl(F.sum("net")).alias("sold"))
-    b = returns(f).join(p, "l_partkey").groupBy("p_type").agg(dbl(F.sum("refund")).alias("refunded"))
+    s = f.filter("status <> 'P'").join(p, "l_partkey").groupBy("p_type").agg(S.amount(F.sum("net")).alias("sold"))
+    b = returns(f).join(p, "l_partkey").groupBy("p_type").agg(S.amount(F.sum("refund")).alias("refunded"))
     return s.join(b, "p_type").withColumn("percent", 100 * F.col("refunded") / F.col("sold"))
 
 
@@ -204,7 +214,7 @@ def reconcile_sales(spark, d):
     f = fact(spark, d)
     a = f.agg(F.count(F.lit(1)).alias("fact_lines"), F.sum("net").alias("fr"), F.count_if(F.col("l_returnflag") == "R").alias("rr"))
     b = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("source_lines"), F.sum(net_revenue()).alias("sr"), F.count_if(F.col("l_returnflag") == "R").alias("sx"))
-    return a.crossJoin(b).select("fact_lines", "source_lines", dbl(F.col("fr")).alias("fact_revenue"), dbl(F.col("sr")).alias("source_revenue"), (F.col("fr") == F.col("sr")).alias("revenue_agrees"), (F.col("rr") == F.col("sx")).alias("returns_agree"))  # one row each
+    return a.crossJoin(b).select("fact_lines", "source_lines", S.amount(F.col("fr")).alias("fact_revenue"), S.amount(F.col("sr")).alias("source_revenue"), (F.col("fr") == F.col("sr")).alias("revenue_agrees"), (F.col("rr") == F.col("sx")).alias("returns_agree"))  # one row each
 
 
 @query("""SELECT 'lineitem.order' AS reference, (SELECT count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) AS orphans UNION ALL SELECT 'lineitem.part', (SELECT count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey))
@@ -228,7 +238,7 @@ def three_models(spark, d):
     people = table(spark, d, "customer").join(table(spark, d, "nation").filter("n_regionkey = 3"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey")
     own = f.join(people, F.col("o_custkey") == F.col("c_custkey"))
     year = (F.col("ordered") >= F.lit("1997-01-01").cast("date")) & (F.col("ordered") < F.lit("1998-01-01").cast("date"))
-    total = lambda df, name: df.agg(dbl(F.sum("net")).alias("revenue"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("model"), "revenue", "n")
+    total = lambda df, name: df.agg(S.amount(F.sum("net")).alias("revenue"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("model"), "revenue", "n")
     return total(f.filter(year), "flat").unionByName(total(own.filter(year & ~F.col("status").isin("P")), "normalised")).unionByName(total(own.filter("date_key between 19970101 and 19971231 and status <> 'P'"), "star"))
 
 

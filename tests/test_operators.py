@@ -156,3 +156,33 @@ def test_rendering():
     for c in (render.bar_chart([("a<b", 3), ("c", 1)], "t & t"), render.line_chart([(0, 1), (1, 2)]), render.grid_chart([(0, 0, 1.0)])):
         m.parseString(c.svg())
     assert "█" in render.text_bars([("a", 1)])
+
+
+def test_quantiles_with_null_groups_ties_and_cells(spark):
+    import random
+
+    r = random.Random(1)
+    data = [(k, r.choice([1.0, 2.0, r.random() * 9])) for k in ("a", None, "b") for _ in range(300)] + [("c", 4.0), ("d", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    want = df.groupBy("k").agg(F.median("v").alias("m"), F.percentile("v", F.lit(0.99)).alias("p")).filter("m is not null")
+    for cells in (2, 7, 1000):
+        got = D.quantiles(df, "v", {"m": 0.5, "p": 0.99}, by=["k"], cells=cells)
+        assert [(a, round(b, 9), round(c, 9)) for a, b, c in rows(got)] == [(a, round(b, 9), round(c, 9)) for a, b, c in rows(want)]
+    assert D.quantiles(df.filter("false"), "v", {"m": 0.5}).count() == 0
+
+
+def test_global_order_is_not_one_task(spark):
+    df = spark.range(1000).withColumn("v", F.when(F.col("id") % 7 > 0, F.col("id") % 5))
+    got = R.global_row_number(df, [("v", True), ("id", False)], "n")
+    want = R.row_number(df, [], [("v", True), ("id", False)], "n")
+    assert rows(got) == rows(want)
+    assert R.global_row_number(df.filter("false"), [("id", False)], "n").count() == 0
+
+
+def test_timestamps_and_short_numbers(spark):
+    df = spark.createDataFrame([("2011-12-09 08:26:00",), (" 2011-12-09 08:26:00 ",), ("9/12/2011",), ("NA",), (None,)], "t string")
+    assert [str(r[0]) for r in df.select(S.to_timestamp(F.col("t"))).collect()] == ["2011-12-09 08:26:00"] * 2 + ["None"] * 3
+    n = spark.createDataFrame([(1234567.0,), (12345.0,), (7.0,), (-1500.0,), (None,)], "v double")
+    assert [r[0] for r in n.select(S.short_number(F.col("v"))).collect()] == ["1.2M", "12.3k", "7.0", "-1.5k", None]
+    c = spark.createDataFrame([(-1.0,), (0.5,), (2.0,)], "t double")
+    assert [r[0] for r in c.select(S.blend("#000000", "#ffffff", F.col("t"))).collect()] == ["#000000", "#808080", "#ffffff"]
