@@ -14,6 +14,7 @@ the digest of the empty text and no licence; repeated rows each get their own ro
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -72,6 +73,64 @@ http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+WTFPL = """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+EPL_NOTICE = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0"""
+CC_NOTICE = "This work is licensed under a Creative Commons {} License."
+
+
+def gnu_notice(what: str, name: str, version: str, later: bool) -> str:
+    """The notice that these licences ask to be put at the top of a file."""
+    either = f"either version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return f"""This {what} is free software{":" if version[0] == "3" else ";"} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, {either}
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."""
+
+
+#: Digests of the full texts of the long licences, as published, once normalised (fixed values;
+#: ``folder_digests`` makes such a table out of a folder of licence texts).
+FULL_TEXTS = {
+    "Apache-2.0": "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b",
+    "Artistic-1.0-Perl": "f7fec2048e2502b8b653a12ac095bcb0601f72bbd1d535b2e8adf8e097d2f915",
+    "CC0-1.0": "de4b88a2c819a4661af54f735069ed878216da8b4992b919b84afa18cfc0e54c",
+    "GFDL-1.2": "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f",
+    "GFDL-1.3": "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4",
+    "GPL-1.0": "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
+    "GPL-2.0": "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
+    "GPL-3.0": "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349",
+    "LGPL-2.0": "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d",
+    "LGPL-2.1": "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+}
+
 KNOWN = {
     "MIT": [MIT, "MIT License\n\n" + MIT, "The MIT License (MIT)\n\n" + MIT, "Released under the MIT License."],
     "ISC": [ISC_GRANT + ISC_NOTICE + "\n\n" + ISC_DISCLAIMER, "ISC License\n\n" + ISC_GRANT + ISC_NOTICE + "\n\n" + ISC_DISCLAIMER],
@@ -80,8 +139,20 @@ KNOWN = {
     "BSD-3-Clause": [BSD_HEAD + BSD_THIRD + BSD_TAIL, "BSD 3-Clause License\n\n" + BSD_HEAD + BSD_THIRD + BSD_TAIL],
     "Zlib": [ZLIB, "zlib License\n\n" + ZLIB],
     "Apache-2.0": [APACHE_NOTICE, "Licensed under the Apache License, Version 2.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "BSL-1.0": [BOOST, "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + BOOST],
+    "Unlicense": [UNLICENSE],
+    "WTFPL": [WTFPL],
+    "GPL-2.0": [gnu_notice("program", "General Public License", "2", True), gnu_notice("program", "General Public License", "2", False)],
+    "GPL-3.0": [gnu_notice("program", "General Public License", "3", True), gnu_notice("program", "General Public License", "3", False), "This work is licensed under the GNU General Public License, version 3."],
+    "LGPL-2.1": [gnu_notice("library", "Lesser General Public License", "2.1", True)],
+    "LGPL-3.0": [gnu_notice("program", "Lesser General Public License", "3", True), gnu_notice("library", "Lesser General Public License", "3", True)],
+    "AGPL-3.0": [gnu_notice("program", "Affero General Public License", "3", True)],
+    "MPL-2.0": [MPL_NOTICE],
+    "EPL-2.0": [EPL_NOTICE],
+    "CC-BY-4.0": [CC_NOTICE.format("Attribution 4.0 International")],
+    "CC-BY-SA-4.0": [CC_NOTICE.format("Attribution-ShareAlike 4.0 International")],
+    "CC-BY-NC-4.0": [CC_NOTICE.format("Attribution-NonCommercial 4.0 International"), "Licensed under CC BY-NC 4.0."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
 
 _COPYRIGHT = re.compile(r"^[\W_]*(?:copyright\b|©|\(c\)|all rights reserved\b).*$", re.M)
@@ -110,6 +181,20 @@ def known_digests(known: dict[str, list[str]] = KNOWN) -> dict[str, str]:
     for name, texts in known.items():
         for t in texts:
             out.setdefault(digest(t), name)
+    if known is KNOWN:
+        for name, d in FULL_TEXTS.items():
+            out.setdefault(d, name)
+    return out
+
+
+def folder_digests(path: str) -> dict[str, str]:
+    """File name to digest for a folder of licence texts."""
+    out = {}
+    for name in sorted(os.listdir(path)):
+        full = os.path.join(path, name)
+        if os.path.isfile(full) and not os.path.islink(full):
+            with open(full, encoding="utf-8", errors="replace") as f:
+                out[name] = digest(f.read())
     return out
 
 
