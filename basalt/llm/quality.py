@@ -1,13 +1,15 @@
 """Quality rules: base counts and a calibrated n-gram classifier against fixed thresholds.
 
-The classifier is a logistic regression on the relative frequencies of hashed words and hashed
-character trigrams, fitted to labelled quality rows and calibrated by a logistic (Platt) fit on
-rows kept from the training. It learns from at most ``train_rows`` labelled rows, a documented
-bound; everything else covers all rows. Documents are scored in Arrow batches.
+The classifier is a logistic regression on the relative frequencies of hashed word unigrams and
+bigrams and of hashed byte 3-, 4- and 5-grams, fitted to labelled quality rows and calibrated by a
+logistic (Platt) fit on rows kept from the training. It learns from at most ``train_rows`` labelled
+rows and ``TRAIN_BYTES`` bytes, documented bounds; everything else covers all rows. Documents are
+scored in Arrow batches.
 
 Defined results: null text has no words, counts 0 and fails the base rules; repeated rows are each
-scored; without labelled rows of both kinds the model keeps whatever passes the base rules; texts
-are read whole.
+scored; without labelled rows of both kinds the model keeps whatever passes the base rules; an empty
+table gives an empty result; ids may be of any type; other columns stay in ``row`` whatever their
+names; texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 from basalt.llm import scratch
 from basalt.llm.labelled import labelled_sample
 
-TRAIN_ROWS = 3000
-WORD_BITS = 16
-CHAR_BITS = 15
+TRAIN_ROWS = 2000
+WORD_BITS = 13
+CHAR_BITS = 13
 SIZE = (1 << WORD_BITS) + (1 << CHAR_BITS)
+CHAR_GRAMS = (3, 4, 5)
 SCALE = 20.0
 THRESHOLD = 0.5
 MIN_WORDS = 20
@@ -89,25 +92,39 @@ def duplicate_lines(text: str) -> int:
 
 
 class Hashes(dict):
-    """Word bytes to bucket, bounded."""
+    """Word bytes to 32-bit hash, bounded."""
 
     def __missing__(self, w: bytes) -> int:
         if len(self) > WORDS_KEPT:
             self.clear()
-        self[w] = h = crc32(w) & ((1 << WORD_BITS) - 1)
+        self[w] = h = crc32(w)
         return h
 
 
-def char_buckets(raw: bytes) -> Iterator[np.ndarray]:
-    for at in range(0, max(1, len(raw) - 2), SLICE):
-        b = np.frombuffer(raw[at : at + SLICE + 2], dtype=np.uint8).astype(np.uint32)
-        if len(b) >= 3:
-            v = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))
-            yield (v * np.uint32(2654435761)) >> np.uint32(32 - CHAR_BITS)
+def word_buckets(words: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of the word unigrams and of the bigrams of a text's word hashes."""
+    w = words.astype(np.uint64)
+    up = np.uint64(64 - WORD_BITS)
+    if len(w):
+        yield (w * np.uint64(0x9E3779B97F4A7C15)) >> up
+    if len(w) > 1:
+        yield ((w[:-1] * np.uint64(0xD6E8FEB86659FD93) + w[1:]) * np.uint64(0x9E3779B97F4A7C15)) >> up
+
+
+def char_buckets(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, buckets) of the byte n-grams of a text, slice by slice."""
+    wide = max(CHAR_GRAMS)
+    for at in range(0, len(raw), SLICE):
+        b = np.frombuffer(raw[at : at + SLICE + wide - 1], dtype=np.uint8).astype(np.uint64)
+        v, here = np.zeros(len(b), dtype=np.uint64), min(SLICE, len(raw) - at)
+        for n in range(1, wide + 1):
+            v = (v[: len(b) - n + 1] << np.uint64(8)) | b[n - 1 :]
+            if n in CHAR_GRAMS and len(v):
+                yield n, ((v[:here] + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CHAR_BITS)
 
 
 def measure(text: str | None, hashes: Hashes) -> tuple[int, int, int, int, int, np.ndarray, bytes]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word buckets, bytes."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word hashes, bytes."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.split()  # bytes.split cuts at ASCII white space only
     arr = np.frombuffer(raw, dtype=np.uint8)
@@ -120,16 +137,14 @@ def measure(text: str | None, hashes: Hashes) -> tuple[int, int, int, int, int,
     return len(words), chars, symbols, duplicate_lines(text) if text else 0, repeats, distinct[ids] if len(ids) else ids, raw
 
 
-def features(buckets: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse relative frequencies: (bucket, value)."""
+def features(words: np.ndarray, raw: bytes) -> np.ndarray:
+    """Relative frequencies by bucket: words, then characters."""
     out = np.zeros(SIZE)
-    if len(buckets):
-        out[: 1 << WORD_BITS] = np.bincount(buckets, minlength=1 << WORD_BITS) / len(buckets)
-    n = max(1, len(raw) - 2)
-    for c in char_buckets(raw):
-        out[1 << WORD_BITS :] += np.bincount(c, minlength=1 << CHAR_BITS) / n
-    at = np.flatnonzero(out)
-    return at, out[at] * SCALE
+    for b in word_buckets(words):
+        out[: 1 << WORD_BITS] += np.bincount(b.astype(np.int64), minlength=1 << WORD_BITS) / len(b)
+    for n, c in char_buckets(raw):
+        out[1 << WORD_BITS :] += np.bincount(c.astype(np.int64), minlength=1 << CHAR_BITS) / (len(raw) - n + 1)
+    return out * SCALE
 
 
 class Model:
@@ -137,67 +152,67 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float, a: float, b: float):
         self.weights, self.bias, self.a, self.b = weights.astype(np.float32), bias, a, b
+        self.words, self.chars = self.weights[: 1 << WORD_BITS], self.weights[1 << WORD_BITS :]
+
+    def margin(self, words: np.ndarray, raw: bytes) -> float:
+        z = sum(float(self.words[b].sum(dtype=np.float64)) / len(b) for b in word_buckets(words))
+        z += sum(float(self.chars[c].sum(dtype=np.float64)) / (len(raw) - n + 1) for n, c in char_buckets(raw))
+        return self.bias + SCALE * z
 
-    def probability(self, buckets: np.ndarray, raw: bytes) -> float:
-        z = self.bias
-        if len(buckets):
-            z += SCALE * float(self.weights[buckets].mean())
-        n = max(1, len(raw) - 2)
-        for c in char_buckets(raw):
-            z += SCALE * float(self.weights[(1 << WORD_BITS) + c].sum(dtype=np.float64)) / n
-        return float(1 / (1 + np.exp(-np.clip(self.a * z + self.b, -40, 40))))
+    def probability(self, words: np.ndarray, raw: bytes) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(words, raw) + self.b, -40, 40))))
 
 
-def _logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the mean loss with classes weighted alike."""
-    ptr = np.cumsum([0] + [len(i) for i, _ in rows])
-    col = np.concatenate([i for i, _ in rows])
-    val = np.concatenate([v for _, v in rows])
-    owner = np.repeat(np.arange(len(rows)), np.diff(ptr))
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, b = np.zeros(SIZE), 0.0
-    m, v = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
+    w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
+    m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(owner, val * w[col], minlength=len(rows)) + b
+        z = x @ w + b
         g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = np.append(np.bincount(col, val * g[owner], minlength=SIZE) + l2 * w, g.sum())
+        grad = np.append(g.astype(np.float32) @ x + l2 * w, g.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         move = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = (w - move[:-1]).astype(np.float32), b - move[-1]
     return w, b
 
 
 def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Hashes()
     for b in batches:
-        at, val = [], []
+        rows = []
         for x in b.column(1):
             m = measure(x.as_py(), hashes)
-            i, v = features(m[5], m[6])
-            at.append(i.astype(np.int32))
-            val.append(v.astype(np.float32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["doc_id", "y", "at", "val"])
+            rows.append(features(m[5], m[6]).astype(np.float16).tobytes())  # frequencies below 20
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train_rows: int = TRAIN_ROWS, steps: int = 150, l2: float = 1e-5) -> Model:
-    """Fit on at most ``train_rows`` labelled rows; every fifth of them is kept for calibration."""
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, steps: int = 150, l2: float = 1e-5) -> Model:
+    """Fit on at most ``train_rows`` labelled rows; every fifth of them is kept for calibration. A row
+    is ``SIZE`` numbers whatever its text, so the driver holds ``train_rows`` times that."""
     scratch.ship(docs.sparkSession)
-    s = labelled_sample(docs, labels, label, train_rows)
-    got = s.mapInArrow(_feature_task, "doc_id long, y int, at array<int>, val array<float>").toArrow().sort_by("doc_id")
+    s = labelled_sample(docs, labels, label, train_rows, id_col=id_col, text_col=text_col)
+    got = s.mapInArrow(_feature_task, f"doc_id {s.schema['doc_id'].dataType.simpleString()}, y int, x binary").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(float) if got.num_rows else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(SIZE), 0.0, 0.0, 40.0)
-    rows = [(i.values.to_numpy(), v.values.to_numpy().astype(float)) for i, v in zip(got["at"], got["val"], strict=True)]
+    rows = np.empty((len(y), SIZE), dtype=np.float32)
+    for i, x in enumerate(got["x"]):
+        rows[i] = np.frombuffer(x.as_buffer(), dtype=np.float16)
     kept = np.arange(len(rows)) % 5 == 0
     if len(set(y[~kept].tolist())) < 2 or len(set(y[kept].tolist())) < 2:
         kept[:] = False
     del got
     scratch.release()
-    w, b = _logistic([r for r, k in zip(rows, kept, strict=True) if not k], y[~kept], l2, steps)
+    learn = rows[~kept]
+    held = rows[kept]
+    del rows
+    w, b = _logistic(learn, y[~kept], l2, steps)
     a, c = 1.0, 0.0
     if kept.any():
-        z = np.array([w[i] @ v for i, v in (rows[j] for j in np.flatnonzero(kept))]) + b
+        z = held @ w + b
         t = np.where(y[kept] == 1, (y[kept].sum() + 1) / (y[kept].sum() + 2), 1 / ((1 - y[kept]).sum() + 2))
         for _ in range(50):  # Newton's method on the two numbers
             p = 1 / (1 + np.exp(-np.clip(a * z + c, -40, 40)))
@@ -221,9 +236,9 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
         for b in batches:
             out = []
             for x in b.column(1):
-                *n, buckets, raw = measure(x.as_py(), hashes)
+                *n, words, raw = measure(x.as_py(), hashes)
                 failed = n[0] < MIN_WORDS or 100 * n[4] > MAX_REPEAT_PERCENT * n[0]
-                p = m.probability(buckets, raw)
+                p = m.probability(words, raw)
                 out.append((*n, failed, p, not failed and p >= threshold))
             cols = list(zip(*out, strict=True)) or [()] * 8
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
