@@ -3,16 +3,19 @@
 P(grade >= j) = sigmoid(w . x - c_j) with one weight vector shared by all thresholds
 c_1 < c_2 < ...; the outputs are the grade probabilities, the expected severity (their sum) and a
 verdict at a fixed threshold on P(grade >= 1). Features are the distinct lower-case letter words of
-a text and their prefixes, hashed; those found mostly in toxic rows of the training sample are kept
-(at most ``n_features``, by likelihood ratio), so scoring looks words up in a small table.
-
-The sample has at most ``train_rows`` labelled rows, a documented bound. Labels of 0 and 1 are
-graded by ``graded``: among toxic rows those with at least the median number of telling features
-are grade 2, the others 1. Labels that already have more grades are used as they are.
-
-Defined results: null, empty or letterless text has no features and so the least severity of the
-model; without labelled rows of two grades nothing is toxic; repeated rows are each scored; texts
-are read whole.
+a text and their prefixes, hashed; those that tell toxic rows of the training sample from others, in
+either direction, are kept (at most ``n_features``, by likelihood ratio), so scoring looks words up in
+a small table.
+
+The sample has at most ``train_rows`` labelled rows and ``TRAIN_BYTES`` bytes, documented bounds. The
+grades are the judges', not the text's (:func:`severity_grades`): 0 is not toxic, 1 toxic, and 2 toxic
+in a text also judged to be of no quality. Where the labels have no such rows the model has one
+threshold; labels with more grades of their own can be given to :func:`fit` instead.
+
+Defined results: null, empty or letterless text has no features and so the model's base severity;
+without labelled rows of two grades nothing is toxic; repeated rows are each scored; an empty table
+gives an empty result; ids may be of any type; other columns stay in ``row`` whatever their names;
+texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ from basalt.llm.labelled import labelled_sample
 
 TRAIN_ROWS = 4000
 N_FEATURES = 2000
-MIN_ROWS = 4
+MIN_ROWS = 3
+MIN_RATIO = 4.0  # log-likelihood a feature must explain
 PREFIXES = (4, 5, 6, 8)
-MIN_PRECISION = 0.7
 THRESHOLD = 0.2
 WORDS_KEPT = 300_000
 
@@ -88,14 +91,10 @@ def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(feats, pa.list_(pa.int64()))], ["doc_id", "y", "feats"])
 
 
-def graded(y: np.ndarray, telling: np.ndarray) -> np.ndarray:
-    """Grades out of 0/1 labels: toxic rows at or over the median number of telling features are grade 2."""
-    out = y.astype(int)
-    if set(out.tolist()) == {0, 1}:
-        out[(y == 1) & (telling >= np.median(telling[y == 1]))] = 2
-        if not (out == 1).any():  # all numbers equal
-            out = y.astype(int)
-    return out
+def severity_grades(labels: DataFrame) -> DataFrame:
+    """Labels with ``grade``: 0, 1 for toxic, 2 for toxic and of no quality; null where toxic is null."""
+    worthless = F.coalesce(F.col("quality") == 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
+    return labels.withColumn("grade", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") > 0, F.when(worthless, 2).otherwise(1)))
 
 
 def _ordinal(x: np.ndarray, grade: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, list[float]]:
@@ -122,13 +121,15 @@ def _ordinal(x: np.ndarray, grade: np.ndarray, l2: float, steps: int) -> tuple[n
     return theta[:d], cuts.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train_rows: int = TRAIN_ROWS, n_features: int = N_FEATURES, l2: float = 1e-4, steps: int = 300) -> Model:
-    """Fit on at most ``train_rows`` labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "grade", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, n_features: int = N_FEATURES, l2: float = 3e-4, steps: int = 300) -> Model:
+    """Fit on at most ``train_rows`` labelled rows; grades are whole numbers from 0."""
     scratch.ship(docs.sparkSession)
-    s = labelled_sample(docs, labels, label, train_rows)
-    got = s.mapInArrow(_sample_task, "doc_id long, y int, feats array<long>").toArrow().sort_by("doc_id")
+    if label == "grade" and "grade" not in labels.columns:
+        labels = severity_grades(labels)
+    s = labelled_sample(docs, labels, label, train_rows, id_col=id_col, text_col=text_col)
+    got = s.mapInArrow(_sample_task, f"doc_id {s.schema['doc_id'].dataType.simpleString()}, y int, feats array<long>").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy() if got.num_rows else np.zeros(0, dtype=int)
-    y = np.maximum(y, 0)
+    y = np.unique(np.maximum(y, 0), return_inverse=True)[1]  # grades that occur, numbered from 0
     if len(set(y.tolist())) < 2:
         return Model([], np.zeros(0), [])
     lists = [f.values.to_numpy() for f in got["feats"]]
@@ -137,15 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train_rows:
     hot = (y > 0).astype(float)
     both = np.bincount(col, minlength=len(names))
     toxic = np.bincount(col, hot[owner], minlength=len(names))
-    rate = (toxic + 0.5 * hot.mean()) / (both + 0.5)
-    # the signed root of the likelihood-ratio statistic of "has the feature" against "is toxic"
+    # half the likelihood-ratio statistic of "has the feature" against "is toxic"
     base = hot.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         q = np.clip(toxic / np.maximum(both, 1), 1e-9, 1 - 1e-9)
         stat = toxic * np.log(q / base) + (both - toxic) * np.log((1 - q) / (1 - base))
-    stat = np.where((toxic >= MIN_ROWS) & (rate > MIN_PRECISION), stat, 0)
+    stat = np.where(both >= MIN_ROWS, stat, 0)
     pick = np.argsort(-stat, kind="stable")[:n_features]
-    pick = np.sort(pick[stat[pick] > 7])
+    pick = np.sort(pick[stat[pick] > MIN_RATIO])
     if not len(pick):
         return Model([], np.zeros(0), [])
     place = np.full(len(names), -1)
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train_rows:
     x[owner[ok], place[col[ok]]] = 1
     del got, lists
     scratch.release()
-    w, cuts = _ordinal(x, graded(y, x.sum(axis=1)), l2, steps)
+    w, cuts = _ordinal(x, y, l2, steps)
     return Model([int(f) for f in names[pick]], w, cuts)
 
 
