@@ -127,3 +127,26 @@ def grid_chart(cells: Sequence[tuple[int, int, float]], title: str = "", low: st
     for r, k, v in cells:
         c.cell(20 + k * 14, 40 + r * 14, 12, 12, blend(low, high, v / top))
     return c
+
+
+def bar_rows_chart(rows: Sequence[tuple[str, float]], title: str = "") -> Canvas:
+    """Horizontal bars, the label before each and its number behind."""
+    c = Canvas(title=title, height=60 + 22 * max(1, len(rows)))
+    top = max([abs(v) for _, v in rows] + [1e-9])
+    for i, (k, v) in enumerate(rows):
+        w = abs(v) / top * 400
+        c.label(8, 52 + i * 22, k)
+        c.cell(150, 40 + i * 22, w, 16)
+        c.label(156 + w, 52 + i * 22, short_number(v), 9)
+    return c
+
+
+def scatter_chart(points: Sequence[tuple[float, float]], title: str = "") -> Canvas:
+    """Points on two axes with round ticks."""
+    c = line_chart(points, title, dots=True)
+    xs, ys = [p[0] for p in points] or [0], [p[1] for p in points] or [0]
+    for t in nice_ticks(min(xs), max(xs)):
+        c.label(40 + (t - min(xs)) * 560 / ((max(xs) - min(xs)) or 1), 338, short_number(t), 9)
+    for t in nice_ticks(min(ys), max(ys)):
+        c.label(4, 324 - (t - min(ys)) * 260 / ((max(ys) - min(ys)) or 1), short_number(t), 9)
+    return c

@@ -28,6 +28,15 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")
 
 
+def give_keys(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """A table that grew without a key, made fit for one: of several rows for a key the last one stays,
+    and rows without a key, which no keyed load could replace, go."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return latest(rows.filter(known), keys, order)
+
+
 class VersionedTable:
     """A Parquet table with atomic replacement."""
 
@@ -71,6 +80,12 @@ class VersionedTable:
         options[0] = rename.OVERWRITE
         context.rename(self._fs.makeQualified(temp), self._fs.makeQualified(current), options)
 
+    def migrate(self, keys: list[str], order: list[Column]) -> int:
+        """Replace a keyless table by a keyed one in one step; returns how many rows went."""
+        before = self.read()
+        self.replace(give_keys(before, keys, order))
+        return before.count() - self.read().count()
+
     def upsert(self, new: DataFrame, keys: list[str]) -> None:
         self.replace(upsert(self.read(), new, keys) if self.exists() else new)
 

@@ -81,6 +81,30 @@ def group_apply(df: DataFrame, keys: Sequence[str], fn: Callable, schema: str) -
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
+def custom_aggregate(df: DataFrame, keys: Sequence[str], partial: Callable, final: Callable, schema: str) -> DataFrame:
+    """An aggregate that no expression can state, for groups of any size.
+
+    ``partial`` turns a pandas frame of rows (a batch) into a frame of the same columns with a few
+    rows for each key, and may be applied to its own results; ``final`` does that for all that is left of
+    one group and gives the columns of ``schema``. Batches are reduced where they are before anything
+    is moved, and what a task made of a group is reduced again, so a group that holds a third of all
+    rows comes together as a few rows for each task.
+    """
+    names = df.columns
+
+    def reduce(frames):
+        import pandas as pd
+
+        held = None
+        for f in frames:
+            f = partial(f)
+            held = f if held is None else partial(pd.concat([held, f], ignore_index=True))
+        if held is not None:
+            yield held[names]
+
+    return df.mapInPandas(reduce, df.schema).groupBy(*keys).applyInPandas(final, schema)
+
+
 def _window(partition: Sequence[str], order: Sequence[tuple[str, bool]]):
     return W.partitionBy(*partition).orderBy(*[sort_key(c, d) for c, d in order])
 

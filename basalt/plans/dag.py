@@ -11,12 +11,13 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from basalt.functions.render import text_table
 from basalt.operators.merge import VersionedTable
 
 HISTORY = "run_id string, task string, status string, attempts int, started timestamp, finished timestamp, error string, detail string"
 
 
-@dataclass
+@dataclass(eq=False)
 class Task:
     name: str
     func: Callable[[dict], object]
@@ -25,8 +26,11 @@ class Task:
     upstream: list[Task] = field(default_factory=list)
 
     def __rshift__(self, other: Task) -> Task:
-        """``a >> b``: b needs a. Gives b, so chains read left to right."""
-        other.upstream.append(self)
+        """``a >> b``: b needs a, once however often it is said. Gives b, so chains read left to right."""
+        if not isinstance(other, Task):
+            raise TypeError(f"a task can only come before a task, not before {type(other).__name__}")
+        if self not in other.upstream:
+            other.upstream.append(self)
         return other
 
     def run(self, ctx: dict, sleep: Callable[[float], None] = time.sleep) -> tuple[int, object]:
@@ -105,6 +109,14 @@ class DAG:
             self.history.record(**row, status=status, finished=dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
         return not failed
 
+    def status(self, run_id: str | None = None) -> str:
+        """The recorded outcomes of a run (or of all) as text: task, status, attempts, seconds, note."""
+        rows = self.history.rows()
+        rows = rows.filter(F.col("run_id") == run_id) if run_id else rows
+        seconds = F.col("finished").cast("double") - F.col("started").cast("double")
+        t = rows.select("run_id", "task", "status", "attempts", F.format_number(seconds, 1).alias("seconds"), F.coalesce("error", "detail").alias("note"))
+        return text_table(t.columns, [tuple(r) for r in t.limit(1000).collect()], title=self.name, most=1000)
+
     def reset(self) -> None:
         """Forget all runs."""
         if self.history.table.exists():

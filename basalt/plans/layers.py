@@ -8,7 +8,6 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from basalt.functions import scalars as S
 from basalt.operators.merge import VersionedTable
 from basalt.plans.dag import DAG, RunHistory
 from basalt.sources import landing
+from basalt.sources.workdir import Files
 
 
 class AuditError(ValueError):
@@ -70,10 +70,11 @@ def build_dag(spark: SparkSession, root: str, cities: list[str], start: str, end
     bronze, silver_path = f"{root}/bronze", f"{root}/silver/{start}__{end}"
     silver = lambda: spark.read.parquet(silver_path)
     gold = Gold(spark, f"{root}/gold")
+    files = Files(spark)
 
     @dag.task("extract", retries=2)
     def extract(ctx):
-        return len(landing.fetch_all(cities, start, end, bronze, get, **options))
+        return len(landing.fetch_all(files, cities, start, end, bronze, get, **options))
 
     @dag.task("transform")
     def transform(ctx):
@@ -81,9 +82,8 @@ def build_dag(spark: SparkSession, root: str, cities: list[str], start: str, end
 
     @dag.task("manifest", retries=1)
     def manifest(ctx):
-        files = sorted(n for n in os.listdir(bronze) if n.endswith(f"__{start}__{end}.json"))
-        with open(f"{root}/manifest__{start}__{end}.json", "w", encoding="utf-8") as f:
-            json.dump({"run_id": f"{start}__{end}", "cities": cities, "start": start, "end": end, "files": files}, f)
+        names = [n for n in files.names(bronze) if n.endswith(f"__{start}__{end}.json")]
+        files.write(f"{root}/manifest__{start}__{end}.json", json.dumps({"run_id": f"{start}__{end}", "cities": cities, "start": start, "end": end, "files": names}))
 
     @dag.task("load", retries=1)
     def load(ctx):
@@ -117,7 +117,7 @@ def main(argv: list[str] | None = None, get: Callable[[str, str, str], dict] | N
     if a.reset:
         dag.reset()
     if a.status:
-        dag.history.rows().show(100, truncate=60)
+        print(dag.status())
         return 0
     return 0 if dag.run(f"{a.start}__{a.end}", {}, force=a.force) else 1
 

@@ -3,6 +3,9 @@ returns, reconciliation and the questions asked of them."""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -252,25 +255,79 @@ def update_anomaly(spark, d):
     return flat.groupBy("c_custkey").agg(F.countDistinct("segment").alias("segments")).filter("segments > 1")
 
 
+@dataclass(frozen=True)
+class Declared:
+    """Columns as DDL, the key, and the columns a table is laid out by."""
+
+    columns: str
+    keys: tuple[str, ...]
+    partition: tuple[str, ...] = ()
+
+
+MONEY = "DOUBLE"
+TABLES = {
+    "dim_date": Declared("date_key INT NOT NULL, full_date DATE, year INT, quarter INT, month INT, month_name STRING, day_of_month INT, day_of_week INT, day_name STRING, is_weekend BOOLEAN", ("date_key",)),
+    "dim_customer": Declared("customer_key BIGINT NOT NULL, c_custkey BIGINT, c_name STRING, c_mktsegment STRING, nation STRING, region STRING", ("customer_key",)),
+    "dim_product": Declared(f"product_key BIGINT NOT NULL, p_partkey BIGINT, p_name STRING, p_brand STRING, category STRING, list_price {MONEY}", ("product_key",)),
+    "dim_customer_scd": Declared("o_custkey BIGINT NOT NULL, priority STRING, valid_from DATE NOT NULL, valid_to DATE, is_current BOOLEAN", ("o_custkey", "valid_from")),
+    "fact_sales": Declared(f"order_id BIGINT NOT NULL, line_no BIGINT NOT NULL, date_key INT, customer_key BIGINT, product_key BIGINT, quantity DOUBLE, gross_amount {MONEY}, discount_amount {MONEY}, net_revenue {MONEY}, status STRING, year INT", ("order_id", "line_no"), ("year",)),
+    "fact_returns": Declared(f"order_id BIGINT NOT NULL, line_no BIGINT NOT NULL, date_key INT, o_custkey BIGINT, l_partkey BIGINT, quantity BIGINT, refund_amount {MONEY}, year INT", ("order_id", "line_no"), ("year",)),
+    "dim_city": Declared("city_key BIGINT NOT NULL, city_name STRING", ("city_key",)),
+    "fact_daily": Declared("city_key BIGINT NOT NULL, date_key INT NOT NULL, temp_mean_c DOUBLE, precip_mm DOUBLE, wind_max_kph DOUBLE", ("city_key", "date_key")),
+}
+
+
+def create_tables(spark, path: str) -> dict[str, DataFrame]:
+    """The declared tables, empty, as Parquet under ``path``."""
+    out = {}
+    for name, t in TABLES.items():
+        empty = spark.createDataFrame([], t.columns)
+        empty.write.mode("overwrite").partitionBy(*t.partition).parquet(f"{path}/{name}")
+        out[name] = spark.read.schema(empty.schema).parquet(f"{path}/{name}")
+    return out
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """Columns in the declared order and types; a NULL in a key fails the job."""
+    t = TABLES[name]
+    cols = []
+    for c in t.columns.split(", "):
+        col, kind = c.split(" ")[:2]
+        value = F.col(col).cast(kind)
+        if col in t.keys:
+            value = F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"{name}: no {col}")).cast(kind))
+        cols.append(value.alias(col))
+    return df.select(*cols)
+
+
 class WarehouseError(ValueError):
     """A reconciliation that does not hold."""
 
 
 def build(spark, d, path: str) -> dict[str, str]:
-    """Write all dimensions and facts under ``path``, dimensions first, and reconcile; facts are
-    partitioned by year. Raises WarehouseError instead of publishing numbers that do not agree."""
+    """Write all dimensions and facts to a new folder under ``path``, reconcile what was written, and
+    only then let the tables be read there: the result names the folders of this build.
+
+    Facts are partitioned by year, each year in as many files as its rows need. Raises WarehouseError
+    instead of publishing numbers that do not agree; ``path/_current`` still names the last good build.
+    """
+    from basalt.sources.workdir import Files
+
+    files, made = Files(spark), f"{path}/build-{uuid.uuid4().hex[:12]}"
     out = {}
-    for name in ("dim_date", "dim_customer", "dim_product", "dim_customer_scd"):
-        QUERIES[name](spark, d).write.mode("overwrite").parquet(f"{path}/{name}")
-        out[name] = f"{path}/{name}"
-    for name in ("fact_sales", "fact_returns"):
-        f = QUERIES[name](spark, d).withColumn("year", F.expr("date_key div 10000").cast("int"))
-        f.repartition("year").write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}")
-        out[name] = f"{path}/{name}"
+    for name in ("dim_date", "dim_customer", "dim_product", "dim_customer_scd", "fact_sales", "fact_returns"):
+        t = QUERIES[name](spark, d)
+        if TABLES[name].partition:
+            t = t.withColumn("year", F.expr("date_key div 10000").cast("int"))
+            t = t.hint("rebalance", "year")  # splits large years, merges small ones
+        out[name] = f"{made}/{name}"
+        conform(t, name).write.partitionBy(*TABLES[name].partition).parquet(out[name])
     r = reconcile_sales(spark, d).first()
-    s = reconcile_scd(spark, d).first()
-    if not (r.revenue_agrees and r.returns_agree and r.fact_lines == r.source_lines):
-        raise WarehouseError(f"sales do not reconcile: {r}")
+    wrote = spark.read.parquet(out["fact_sales"]).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(S.cents(F.col("net_revenue"))) / 100.0, 2).alias("v")).first()
+    s = spark.read.parquet(out["dim_customer_scd"]).agg(F.countDistinct("o_custkey").alias("customers"), F.count_if("is_current").alias("current_rows"), F.count_if(F.col("valid_to") < F.col("valid_from")).alias("reversed")).first()
+    if not (r.revenue_agrees and r.returns_agree) or wrote.n != r.source_lines or abs((wrote.v or 0) - (r.source_revenue or 0)) > 0.005:
+        raise WarehouseError(f"sales do not reconcile: {r}, written {wrote}")
     if s.current_rows != s.customers or s.reversed:
         raise WarehouseError(f"history does not reconcile: {s}")
+    files.write(f"{path}/_current", made)
     return out

@@ -1,19 +1,21 @@
 """Landing layer: one JSON document per (city, range), fetched once, and its rows.
 
-The file name ``city__start__end.json`` is the cache key. The fetch function is given, so tests and
-offline runs need no network.
+The file name ``city__start__end.json`` is the cache key; files are written through Hadoop's file
+system, so the folder may be in any store that the executors read. The fetch function is given, so
+tests and offline runs need no network.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.sources.workdir import Files
+
 METRICS = {"temperature_2m_mean": "temp_mean_c", "precipitation_sum": "precip_mm", "wind_speed_10m_max": "wind_max_kph"}
 DAILY = "daily struct<time: array<string>, temperature_2m_mean: array<double>, precipitation_sum: array<double>, wind_speed_10m_max: array<double>>"
 
@@ -22,9 +24,9 @@ def landing_name(city: str, start: str, end: str) -> str:
     return f"{city}__{start}__{end}.json"
 
 
-def fetch_city(city: str, start: str, end: str, folder: str, get: Callable[[str, str, str], dict], retries: int = 3, backoff: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str:
+def fetch_city(files: Files, city: str, start: str, end: str, folder: str, get: Callable[[str, str, str], dict], retries: int = 3, backoff: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str:
     """Fetch one document, with doubling waits between tries, and put it in place in one rename."""
-    path = os.path.join(folder, landing_name(city, start, end))
+    path = f"{folder}/{landing_name(city, start, end)}"
     for attempt in range(retries):
         try:
             doc = get(city, start, end)
@@ -35,20 +37,17 @@ def fetch_city(city: str, start: str, end: str, folder: str, get: Callable[[str,
             if attempt == retries - 1:
                 raise
             sleep(backoff * 2**attempt)
-    os.makedirs(folder, exist_ok=True)
-    with open(path + ".part", "w", encoding="utf-8") as f:
-        json.dump(doc, f)
-    os.replace(path + ".part", path)
+    files.write(path, json.dumps(doc))
     return path
 
 
-def fetch_all(cities: list[str], start: str, end: str, folder: str, get: Callable[[str, str, str], dict], **options) -> list[str]:
-    """All cities; those on disk are not fetched again. Fails at the end, naming what failed."""
+def fetch_all(files: Files, cities: list[str], start: str, end: str, folder: str, get: Callable[[str, str, str], dict], **options) -> list[str]:
+    """All cities; those that are there are not fetched again. Fails at the end, naming what failed."""
     paths, failed = [], []
     for c in cities:
-        path = os.path.join(folder, landing_name(c, start, end))
+        path = f"{folder}/{landing_name(c, start, end)}"
         try:
-            paths.append(path if os.path.exists(path) else fetch_city(c, start, end, folder, get, **options))
+            paths.append(path if files.exists(path) else fetch_city(files, c, start, end, folder, get, **options))
         except (OSError, ValueError) as e:
             failed.append(f"{c}: {e}")
     if failed:

@@ -8,6 +8,7 @@ from basalt.plans import dag as G
 from basalt.plans import layers as L
 from basalt.plans import warehouse
 from basalt.sources import landing
+from basalt.sources.workdir import Files
 from basalt.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -81,7 +82,7 @@ def test_layers_are_idempotent_and_audited(spark, tmp_path):
 def test_landing_failures(spark, tmp_path):
     folder = str(tmp_path / "bronze")
     with pytest.raises(RuntimeError, match="x: no daily"):
-        landing.fetch_all(["x"], "2024-01-01", "2024-01-02", folder, lambda *a: {"reason": "bad"}, sleep=lambda _: None)
+        landing.fetch_all(Files(spark), ["x"], "2024-01-01", "2024-01-02", folder, lambda *a: {"reason": "bad"}, sleep=lambda _: None)
     tries = []
 
     def flaky(*a):
@@ -90,8 +91,8 @@ def test_landing_failures(spark, tmp_path):
             raise OSError("down")
         return document(*a)
 
-    landing.fetch_city("x", "2024-01-01", "2024-01-02", folder, flaky, sleep=lambda _: None)
-    assert len(tries) == 3 and os.listdir(folder) == ["x__2024-01-01__2024-01-02.json"]
+    landing.fetch_city(Files(spark), "x", "2024-01-01", "2024-01-02", folder, flaky, sleep=lambda _: None)
+    assert len(tries) == 3 and [n for n in os.listdir(folder) if not n.startswith(".")] == ["x__2024-01-01__2024-01-02.json"]
     got = landing.silver_rows(spark, folder, "2024-01-01", "2024-01-02").orderBy("date").collect()
     assert [(r.city, r.temp_mean_c, r.precip_mm) for r in got] == [("x", 1.0, None), ("x", 2.0, 0.5)]
     doc = document("y", "2024-01-01", "2024-01-02")
