@@ -70,22 +70,22 @@ def pareto(df: DataFrame, key: str, value: str) -> DataFrame:
     return t.crossJoin(F.broadcast(total)).withColumn("share", F.col("running").cast("double") / F.col("__total").cast("double")).drop("__total")  # one row
 
 
-def quantiles(df: DataFrame, value: str, names: dict[str, float], by: Sequence[str] = (), cells: int = 1000) -> DataFrame:
+def quantiles(df: DataFrame, value: str, names: dict[str, float], by: Sequence[str] = (), slack: float = 0.001) -> DataFrame:
     """Exact quantiles, interpolated between neighbours: a column for each name, one row for each
     group (one in all without ``by``; an empty table has none then).
 
-    Values are counted, and a rank is looked for only in the cell that holds it: bounds of cells come
-    from approximate percentiles, whose errors make cells unequal and results no less exact. So a task
-    holds about a ``cells``-th of the distinct values instead of all of them.
+    Values are counted and dealt to cells; a rank is looked for in the cell that holds it. The bounds of
+    cells are approximate percentiles a little (``slack``) below and above each quantile, so the cell to
+    be sorted is a small part of the values; were they far off, cells would be larger and results the same.
     """
     group = F.struct(F.lit(0).alias("__all"), *by)  # one key, whose NULLs are equal
     rows = df.filter(F.col(value).isNotNull()).select(group.alias("__g"), F.col(value).cast("double").alias("__v"))
     counted = rows.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    steps = [i / cells for i in range(1, cells)]
-    bounds = rows.groupBy("__g").agg(F.percentile_approx("__v", steps, 10 * cells).alias("__b"), F.count(F.lit(1)).alias("__rows"))
+    steps = sorted({min(1.0, max(0.0, p + e)) for p in names.values() for e in (-slack, slack)})
+    bounds = rows.groupBy("__g").agg(F.percentile_approx("__v", steps, 10_000).alias("__b"), F.count(F.lit(1)).alias("__rows"))
     celled = counted.join(bounds, "__g").select("__g", "__v", "__n", "__rows", F.size(F.filter("__b", lambda x: x < F.col("__v"))).alias("__cell"))
     sums = celled.groupBy("__g", "__cell", "__rows").agg(F.sum("__n").alias("__m"))
-    upto = F.sum("__m").over(W.partitionBy("__g").orderBy("__cell"))  # at most ``cells`` rows for each group
+    upto = F.sum("__m").over(W.partitionBy("__g").orderBy("__cell"))  # two rows for each name, one more
     sums = sums.withColumn("__first", upto - F.col("__m")).withColumn("__last", upto - 1)
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(p) * (F.col("__rows") - 1)).alias("at")) for n, p in names.items()])
     asked = sums.withColumn("__q", F.explode(wanted)).withColumn("__k", F.explode(F.array_distinct(F.array(F.floor("__q.at"), F.ceil("__q.at")))))
