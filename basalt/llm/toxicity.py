@@ -12,8 +12,8 @@ grades are the judges', not the text's (:func:`severity_grades`): 0 is not toxic
 in a text also judged to be of no quality. Where the labels have no such rows the model has one
 threshold; labels with more grades of their own can be given to :func:`fit` instead.
 
-Defined results: null, empty or letterless text has no features and so the model's base severity;
-without labelled rows of two grades nothing is toxic; repeated rows are each scored; an empty table
+Defined results: null, empty or letterless text has severity 0; text of words the model does not know
+has its base severity; without labelled rows of two grades nothing is toxic; repeated rows are each scored; an empty table
 gives an empty result; ids may be of any type; other columns stay in ``row`` whatever their names;
 texts are read whole.
 """
@@ -74,11 +74,11 @@ class Model:
         """P(grade >= 1), P(grade >= 2), ..."""
         if not self.cuts:
             return []
-        z = 0.0
-        if text:
-            words = set(_WORD.findall(text.lower()))
-            found = set(chain.from_iterable(map(self.lookup.__getitem__, words)))
-            z = float(self.weights[list(found)].sum()) if found else 0.0
+        words = set(_WORD.findall(text.lower())) if text else set()
+        if not words:
+            return [0.0] * len(self.cuts)
+        found = set(chain.from_iterable(map(self.lookup.__getitem__, words)))
+        z = float(self.weights[list(found)].sum()) if found else 0.0
         return [float(1 / (1 + np.exp(-np.clip(z - c, -40, 40)))) for c in self.cuts]
 
 
