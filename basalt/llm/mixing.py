@@ -111,6 +111,8 @@ def mix_sources(docs: DataFrame, size: Column | None = None, *, id_col: str = "d
     out = out.withColumns({"lo1": lo1, "hi1": F.greatest(lo1, hi1), "lo2": lo2, "hi2": F.greatest(lo2, hi2)})
     taken = F.coalesce(F.col("passes") * F.col("size") + (F.col("hi1") - F.col("lo1")) + (F.col("hi2") - F.col("lo2")), F.lit(0)).cast("long")
     out = out.select("rid", "size", F.col("s_size").cast("long").alias("source_size"), F.col("s_target").alias("target"), taken.alias("taken"), F.coalesce("passes", F.lit(0)).cast("long").alias("passes"), "lo1", "hi1", "lo2", "hi2", F.coalesce("quota_blocks", F.lit(0)).alias("quota_blocks"))
+    out = work.save(out, "taken")
+    work.keep_only(rows, out)
     return rows.select("rid", "row").join(out, "rid").drop("rid")
 
 

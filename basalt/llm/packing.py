@@ -178,7 +178,7 @@ def encode_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, start, length, doc_tokens, ids): pieces of at most ``window`` ids of each document."""
     scratch.ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer, window, end_id), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scratch.trimmed(_encode(tokenizer, window, end_id)), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 # ---- planning ----------------------------------------------------------------------------------

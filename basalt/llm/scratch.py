@@ -53,6 +53,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
         self._n = 0
+        self._paths: list[str] = []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return the table read back: cut lineage, computed once."""
@@ -61,8 +62,17 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._basalt_path = path
+        self._paths.append(path)
         return out
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables of this job but those that its result still reads."""
+        kept = {t._basalt_path for t in tables}
+        for path in self._paths:
+            if path not in kept:
+                remove(self.spark, path)
+        self._paths = [p for p in self._paths if p in kept]
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
         if path := getattr(df, "_basalt_path", None):
@@ -93,6 +103,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def trimmed(work):
+    """The same Arrow function, giving spare memory back to the system when its task ends: workers are
+    kept for the next task, and an executor's memory is bounded for all of them together."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def release() -> None:
-    """Give back what Arrow keeps after a fetched table is done with."""
+    """Give back what Arrow and the C library keep of memory that is done with."""
+    import ctypes
+    import gc
+
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

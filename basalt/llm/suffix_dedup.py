@@ -158,7 +158,7 @@ def _scan(least: int, cut: int, gram: int):
                     ["doc_id", "sha", "n_bytes", "n_words", "runs"],
                 )
 
-    return work
+    return scratch.trimmed(work)
 
 
 class SuffixFamily:
@@ -295,7 +295,7 @@ def _settle(lengths: tuple[int, ...], cut: int):
                     move = own[r, 1] - first[r]
                     yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (own[r, 0], np.full(len(r), length), lo + move, hi + move)], ["rid", "len", "lo", "hi"])
 
-    return work
+    return scratch.trimmed(work)
 
 
 WINDOW = "h1 long, h2 long, rid long, len long, lo long, hi long, n long"
@@ -347,7 +347,7 @@ def _windows(lengths: tuple[int, ...]):
                         none = pa.nulls(len(a), pa.int64())
                         yield _named([none, none, pa.array(rid[a]), pa.array(np.full(len(a), length)), pa.array(pos[a]), pa.array(pos[b]), pa.array(np.full(len(a), 2))])
 
-    return work
+    return scratch.trimmed(work)
 
 
 def _named(cols: list[pa.Array]) -> pa.RecordBatch:
@@ -407,7 +407,7 @@ def _cut_spans(lengths: tuple[int, ...], min_words: tuple[int, ...]):
                 ["rid", "n_removed", "n_spans", "kept_sha256", "spans", "also"],
             )
 
-    return work
+    return scratch.trimmed(work)
 
 
 def _cut_texts(length: int, min_words: int):
@@ -423,7 +423,7 @@ def _cut_texts(length: int, min_words: int):
                 out.append(cut_out(raw, spans).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(changed, pa.bool_()), pa.array(out, pa.string())], ["row", "changed", "text"])
 
-    return work
+    return scratch.trimmed(work)
 
 
 class Repeats:
@@ -504,6 +504,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = r.work.save(src.join(wanted, ["k", "sha"]).drop("k", "sha", "n_words"), "texts")
     part = texts.filter("open").select("rid", "text").join(r.starts(texts), "rid").select("rid", "text", "starts")
     part = r.work.save(part.mapInArrow(_cut_spans(lengths, min_words), f"rid long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}, also array<bigint>"), "parts")
+    r.work.keep_only(r.docs, r.touched, part)
     gone = r.touched.filter("not open").select("rid", F.lit(True).alias("gone"))
     out = r.docs.drop("runs").join(part, "rid", "left").join(gone, "rid", "left")
     all_of = lambda n, k: F.coalesce("gone", F.lit(False)) & (F.col("n_bytes") >= n) & (F.col("n_words") >= k)
@@ -533,7 +534,9 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.struct("*").alias("row"), _key(id_col).alias("k"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("sha"))
     rows = r.work.save(own.join(info, ["k", "sha"], "left").drop("k", "sha"), "rows")
     text = F.col(f"row.`{text_col}`").cast("binary").alias("text")
-    part = rows.filter("open").select("rid", "row", text).join(r.starts(rows.filter("open or held is not null").select("rid", text, "open", "held")), "rid", "left")
+    starts = r.work.save(r.starts(rows.filter("open or held is not null").select("rid", text, "open", "held")), "starts")
+    r.work.keep_only(rows, starts)
+    part = rows.filter("open").select("rid", "row", text).join(starts, "rid", "left")
     kind = rows.schema["row"].dataType.simpleString()
     part = part.select("row", "text", "starts").mapInArrow(_cut_texts(length, min_words), f"row {kind}, changed boolean, text string")
     gone = F.coalesce(~F.col("open") & (F.col("n_words") >= min_words), F.lit(False))

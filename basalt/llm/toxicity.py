@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sum(p) for p in probs], pa.float64()), pa.array(probs, pa.list_(pa.float64())), pa.array(first, pa.float64()), pa.array([p >= threshold for p in first], pa.bool_()), b.column(1)], ["row", "severity", "at_least", "p_toxic", "toxic", "text"])
 
     row = src.schema["row"].dataType.simpleString()
-    return src.mapInArrow(run, f"row {row}, severity double, at_least array<double>, p_toxic double, toxic boolean, text string")
+    return src.mapInArrow(scratch.trimmed(run), f"row {row}, severity double, at_least array<double>, p_toxic double, toxic boolean, text string")
 
 
 def op10_toxicity(spark, sf_dir):
