@@ -171,9 +171,13 @@ def top_n(df: DataFrame, partition: Sequence[str], order: Sequence[tuple[str, bo
 
 
 def fold_rest(df: DataFrame, label: str, value: str, n: int, rest: str = "Rest") -> DataFrame:
-    """The n largest labels and one row for the others, if they amount to more than 0."""
-    ranked = df.withColumn("__r", F.row_number().over(W.orderBy(F.desc(value), label)))
-    named = ranked.withColumn(label, F.when(F.col("__r") <= n, F.col(label)).otherwise(rest))
+    """The n largest labels and one row for the others, if they amount to more than 0.
+
+    The largest are found by a top-k, so the labels are never sorted in one task.
+    """
+    top = df.orderBy(F.desc(value), label).limit(n).select(F.col(label).alias("__top"))
+    named = df.join(F.broadcast(top), F.col(label) == F.col("__top"), "left")  # n rows
+    named = named.withColumn(label, F.coalesce("__top", F.lit(rest)))
     return named.groupBy(label).agg(F.sum(value).alias(value)).filter((F.col(label) != rest) | (F.col(value) > 0))
 
 

@@ -186,3 +186,49 @@ def test_timestamps_and_short_numbers(spark):
     assert [r[0] for r in n.select(S.short_number(F.col("v"))).collect()] == ["1.2M", "12.3k", "7.0", "-1.5k", None]
     c = spark.createDataFrame([(-1.0,), (0.5,), (2.0,)], "t double")
     assert [r[0] for r in c.select(S.blend("#000000", "#ffffff", F.col("t"))).collect()] == ["#000000", "#808080", "#ffffff"]
+
+
+def test_custom_aggregate_in_two_phases(spark):
+    import random
+
+    r = random.Random(6)
+    data = [("hot" if i % 3 else f"k{i % 50}", r.randint(0, 10**6)) for i in range(5000)]
+    df = spark.createDataFrame(data, "k string, v long").repartition(6)
+
+    def keep(f):
+        return f.sort_values("v", ascending=False).groupby("k", sort=False).head(3)
+
+    def third(f):
+        f = keep(f)
+        return f[["k"]].head(1).assign(third=f["v"].iloc[min(2, len(f) - 1)])
+
+    want = {}
+    for k, v in data:
+        want[k] = sorted([*want.get(k, []), v], reverse=True)[:3]
+    got = R.custom_aggregate(df, ["k"], keep, third, "k string, third long")
+    assert dict(map(tuple, got.collect())) == {k: v[min(2, len(v) - 1)] for k, v in want.items()}
+
+
+def test_more_charts():
+    import xml.dom.minidom as m
+
+    for c in (render.bar_rows_chart([("a<b", 3), ("c", 1)], "t & t"), render.bar_rows_chart([]), render.scatter_chart([(0, 1), (1, 2)]), render.scatter_chart([])):
+        m.parseString(c.svg())
+    assert render.scatter_chart([(0, 1), (1, 2)]).svg().count("<circle") == 2
+
+
+def test_declared_tables_and_keys(spark):
+    from basalt.plans import warehouse
+
+    good = spark.createDataFrame([(1, "Porto")], "city_key long, city_name string")
+    assert warehouse.conform(good, "dim_city").columns == ["city_key", "city_name"]
+    bad = spark.createDataFrame([(None, "Porto")], "city_key long, city_name string")
+    with pytest.raises(Exception, match="dim_city: no city_key"):
+        warehouse.conform(bad, "dim_city").collect()
+
+
+def test_migration_keeps_the_last_row_of_a_key(spark, tmp_path):
+    t = M.VersionedTable(spark, str(tmp_path / "t"))
+    t.replace(spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "c", 3), (2, "d", 1), (2, "d", 1)], "k int, v string, n int"))
+    assert t.migrate(["k"], [F.desc("n")]) == 3
+    assert rows(t.read()) == [(1, "b", 2), (2, "d", 1)]

@@ -42,6 +42,10 @@ def test_tasks_retry_cache_force_and_skip(spark, tmp_path):
         calls.append("c")
 
     a >> b >> c
+    a >> b
+    assert b.upstream == [a]
+    with pytest.raises(TypeError, match="not before str"):
+        a >> "b"
     assert d.run("r", {}) is False
     assert waits == [1.0, 2.0]
     assert {r.task: (r.status, r.attempts) for r in d.history.rows().collect()} == {"a": ("succeeded", 3), "b": ("failed", 1), "c": ("skipped", 0)}
@@ -51,6 +55,7 @@ def test_tasks_retry_cache_force_and_skip(spark, tmp_path):
     c >> a
     with pytest.raises(ValueError, match="cycle"):
         d.order()
+    assert "succeeded" in d.status("r") and "succeeded" not in d.status("other")
     d.reset()
     assert d.history.rows().count() == 0
 
@@ -113,6 +118,7 @@ def test_versions_of_one_mover(spark):
 def test_warehouse_build(spark, tmp_path):
     out = warehouse.build(spark, SF, str(tmp_path))
     assert set(out) == {"dim_date", "dim_customer", "dim_product", "dim_customer_scd", "fact_sales", "fact_returns"}
+    assert Files(spark).read(f"{tmp_path}/_current") == out["fact_sales"].rsplit("/", 1)[0]
     f = spark.read.parquet(out["fact_sales"])
     assert f.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert f.select("order_id", "line_no").distinct().count() == f.count()
