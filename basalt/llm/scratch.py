@@ -117,9 +117,7 @@ def trimmed(work):
 def release() -> None:
     """Give back what Arrow and the C library keep of memory that is done with."""
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:
