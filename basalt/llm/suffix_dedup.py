@@ -26,6 +26,7 @@ count as other places, so both lose what they share; one row per input row, null
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -46,8 +47,12 @@ GRAM = 40
 HOT = 1024
 CHUNK = 1 << 20
 SLICE_BYTES = 400_000
+#: Texts of a batch of the family: fewer batches mean fewer levels to match and merge.
+BATCH_BYTES = 800_000
 TASK_BYTES = 1_000_000
 LONG_RUN = 1000
+#: Pairs of suffixes compared at a time: their bytes stay in a core's cache.
+MATCH_ROWS = 512
 
 _U = np.uint64
 
@@ -75,7 +80,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
+            size = max(n + 1, min(2 * len(self.up), CHUNK + 2 * LENGTH))
             for name, b in (("up", self.base), ("down", self.inverse)):
                 x = np.full(size, b, dtype=_U)
                 x[0] = 1
@@ -91,7 +96,9 @@ class Rolling:
         return _mix((prefix[hi] - prefix[lo]) * self.up[lo])
 
 
+@functools.cache
 def _hashes() -> tuple[Rolling, Rolling]:
+    """The two fingerprints of this process: a worker keeps their powers, which a chunk bounds, for its next task."""
     return Rolling(0x9E3779B97F4A7C15, 1), Rolling(0xC2B2AE3D27D4EB4F, 2)
 
 
@@ -181,13 +188,13 @@ class SuffixFamily:
 
     def _match(self, x: np.ndarray, y: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> None:
         """Note the common prefixes of pairs of suffixes (x and y, at these references)."""
-        for lo in range(0, len(x), 8192):
-            u, v = (z[lo : lo + 8192].view(np.uint64).reshape(-1, self.width // 8) for z in (x, y))
-            differ = u ^ v
-            word = (differ != 0).argmax(axis=1)
-            bits = differ[np.arange(len(u)), word]
+        for lo in range(0, len(x), MATCH_ROWS):
+            u, v = (z[lo : lo + MATCH_ROWS].view(np.uint64).reshape(-1, self.width // 8) for z in (x, y))
+            word = (u != v).argmax(axis=1)
+            row = np.arange(len(u))
+            bits = u[row, word] ^ v[row, word]
             low = np.log2((bits & (~bits + _U(1))).astype(np.float64), where=bits != 0, out=np.full(len(u), 8.0 * self.width))
-            r, t = (z[lo : lo + 8192] for z in at)
+            r, t = (z[lo : lo + MATCH_ROWS] for z in at)
             common = np.minimum(8 * word + (low // 8).astype(np.int64), np.minimum(self.size[r], self.size[t])).astype(np.int32)
             np.maximum.at(self.longest, r, common)
             np.maximum.at(self.longest, t, common)
@@ -218,7 +225,7 @@ class SuffixFamily:
         self.size = np.concatenate([self.size, length.astype(np.int32)])
         self.longest = np.concatenate([self.longest, np.zeros(len(at), dtype=np.int32)])
         # equal suffixes of the batch, then those that a level has
-        order = np.argsort(h1, kind="stable")
+        order = np.argsort(h1)
         same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
         for x in (order[1:][same], order[:-1][same]):
             self.longest[base + x] = length[x]
@@ -231,7 +238,8 @@ class SuffixFamily:
         if not len(order):
             return
         prints = h1[order], h2[order], base + order
-        keys = np.lib.stride_tricks.sliding_window_view(data + np.uint8(1), self.width)[at[order]].view(f"S{self.width}").ravel()
+        every = np.ndarray(len(data) - self.width + 1, dtype=f"V{self.width}", buffer=data + np.uint8(1), strides=(1,))  # overlapping
+        keys = every[at[order]].view(f"S{self.width}")
         by = np.argsort(keys, kind="stable")
         keys, refs = keys[by], base + order[by]
         self._match(keys[1:], keys[:-1], (refs[1:], refs[:-1]))
@@ -276,7 +284,7 @@ def _settle(lengths: tuple[int, ...], cut: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, owners = SuffixFamily(cut), []
         for batch in batches:
-            for part in _parts(batch):
+            for part in _parts(batch, BATCH_BYTES):
                 own = np.column_stack([part.column(i).to_numpy() for i in range(4)])
                 family.add([x.as_py() for x in part.column(4)], own[:, 2] - own[:, 1] + 1)
                 owners.append(own)
