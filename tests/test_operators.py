@@ -232,3 +232,18 @@ def test_migration_keeps_the_last_row_of_a_key(spark, tmp_path):
     t.replace(spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "c", 3), (2, "d", 1), (2, "d", 1)], "k int, v string, n int"))
     assert t.migrate(["k"], [F.desc("n")]) == 3
     assert rows(t.read()) == [(1, "b", 2), (2, "d", 1)]
+
+
+def test_quantiles_to_the_last_digit(spark):
+    import random
+
+    import duckdb
+
+    r = random.Random(1)
+    data = [(k, round(r.uniform(1000, 500000), 2)) for k in range(60) for _ in range(r.randint(3, 90))]
+    df = spark.createDataFrame(data, "k int, v double")
+    got = {x.k: (x.m, x.p) for x in D.quantiles(df, "v", {"m": 0.3, "p": 0.99}, by=["k"]).collect()}
+    con = duckdb.connect()
+    for k in range(60):
+        values = [v for g, v in data if g == k]
+        assert got[k] == con.execute("select quantile_cont(x, 0.3), quantile_cont(x, 0.99) from (select unnest(?::double[]) x)", [values]).fetchone()
