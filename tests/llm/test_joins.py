@@ -241,3 +241,22 @@ def test_empty_tables(corpus):
     assert suffix_dedup.repeated_spans(none).count() == 0
     assert jaccard.one_per_group(none).count() == 0
     assert suffix_dedup.remove_repeated(none).count() == 0
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    import time
+
+    from basalt.llm import scratch
+
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before, switch = files(), spark.conf.get(scratch.CLEANUP)
+    saved = scratch.Scratch(spark, "test").save(spark.range(1000).repartition(5, "id"))
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.5)
+    assert not files() - before
+    assert saved.count() == 1000 and spark.conf.get(scratch.CLEANUP) == switch
