@@ -50,6 +50,8 @@ SLICE_BYTES = 400_000
 #: Texts of a batch of the family: fewer batches mean fewer levels to match and merge.
 BATCH_BYTES = 800_000
 TASK_BYTES = 1_000_000
+#: Contexts of a family: the next anchor starts another one.
+FAMILY_BYTES = 400_000
 LONG_RUN = 1000
 #: Pairs of suffixes compared at a time: their bytes stay in a core's cache.
 MATCH_ROWS = 512
@@ -279,15 +281,29 @@ START = "rid long, len long, lo long, hi long"
 
 
 def _settle(lengths: tuple[int, ...], cut: int):
-    """Tasks over contexts, together by anchor, to repeated starts (rid, len, lo, hi)."""
+    """Tasks over contexts in order of their anchors (the last column) to repeated starts (rid, len, lo,
+    hi). Equal windows have equal anchors, so a family ends with an anchor once it is large enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, owners = SuffixFamily(cut), []
+        family, owners, held, last = SuffixFamily(cut), [], 0, None
         for batch in batches:
             for part in _parts(batch, BATCH_BYTES):
-                own = np.column_stack([part.column(i).to_numpy() for i in range(4)])
-                family.add([x.as_py() for x in part.column(4)], own[:, 2] - own[:, 1] + 1)
-                owners.append(own)
+                anchor = part.column(5).to_numpy()
+                same = np.argmax(np.append(anchor != last, True)) if held >= FAMILY_BYTES else len(anchor)
+                for rows in (part.slice(0, same), part.slice(same)):
+                    if not rows.num_rows:
+                        continue
+                    if held >= FAMILY_BYTES and rows.column(5)[0].as_py() != last:
+                        yield from repeated(family, owners)
+                        family, owners, held = SuffixFamily(cut), [], 0
+                    own = np.column_stack([rows.column(i).to_numpy() for i in range(4)])
+                    texts = [x.as_py() for x in rows.column(4)]
+                    family.add(texts, own[:, 2] - own[:, 1] + 1)
+                    owners.append(own)
+                    held, last = held + sum(map(len, texts)), rows.column(5)[rows.num_rows - 1].as_py()
+        yield from repeated(family, owners)
+
+    def repeated(family: SuffixFamily, owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for own, at in zip(owners, family.batches, strict=True):
             longest = family.longest[at]
             count = own[:, 2] - own[:, 1] + 1
@@ -486,7 +502,7 @@ class Repeats:
         held = size.agg(F.sum(F.col("c.e") - F.col("c.s") + self.cut)).first()[0] or 0
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), held // TASK_BYTES)  # a task holds its suffixes
         names = ["rid", "s", "e", "n", "text"]
-        few = run.filter(F.col("texts") <= self.hot).repartition(tasks, "anchor").select(names).mapInArrow(_settle(self.lengths, self.cut), START)
+        few = run.filter(F.col("texts") <= self.hot).repartition(tasks, "anchor").sortWithinPartitions("anchor").select(*names, "anchor").mapInArrow(_settle(self.lengths, self.cut), START)
         win = self.work.save(run.filter(F.col("texts") > self.hot).select(names).repartition("rid", "s").mapInArrow(_windows(self.lengths), WINDOW), "windows")
         twice = win.filter("h1 is not null").groupBy("h1", "h2").agg(F.sum("n").alias("met")).filter("met > 1")
         many = spread_join(win, twice, ["h1", "h2"], "met").select("rid", "len", "lo", "hi").unionByName(win.filter("h1 is null").select("rid", "len", "lo", "hi"))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,23 @@ def test_shuffle_files_go_with_the_write_that_made_them(spark):
         time.sleep(0.5)
     assert not files() - before
     assert saved.count() == 1000 and spark.conf.get(scratch.CLEANUP) == switch
+
+
+def test_a_task_of_many_anchors_holds_few_suffixes_at_a_time(monkeypatch):
+    made = []
+
+    class Noted(suffix_dedup.SuffixFamily):
+        def __init__(self, cut):
+            super().__init__(cut)
+            made.append(self)
+
+    monkeypatch.setattr(suffix_dedup, "SuffixFamily", Noted)
+    monkeypatch.setattr(suffix_dedup, "FAMILY_BYTES", 500, raising=False)
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdefgh", k=60)).encode() for _ in range(40)]
+    rows = [(2 * k + j, k, texts[k] + b"zy"[j : j + 1] * 10) for k in range(40) for j in (0, 1)]  # two contexts of each anchor
+    cols = [[x[0] for x in rows], [0] * 80, [30] * 80, [1] * 80, [x[2] for x in rows], [x[1] for x in rows]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(cols)], ["rid", "s", "e", "n", "text", "anchor"])
+    got = [x for b in suffix_dedup._settle((40,), 40)(iter([batch.slice(i, 7) for i in range(0, 80, 7)])) for x in b.to_pylist()]
+    assert sorted((x["rid"], x["lo"], x["hi"]) for x in got) == [(i, 0, 20) for i in range(80)]
+    assert max(len(f.longest) for f in made) <= 31 * 18  # 500 bytes, and the batch and anchor that pass them
