@@ -281,3 +281,18 @@ def test_a_task_of_many_anchors_holds_few_suffixes_at_a_time(monkeypatch):
     got = [x for b in suffix_dedup._settle((40,), 40)(iter([batch.slice(i, 7) for i in range(0, 80, 7)])) for x in b.to_pylist()]
     assert sorted((x["rid"], x["lo"], x["hi"]) for x in got) == [(i, 0, 20) for i in range(80)]
     assert max(len(f.longest) for f in made) <= 31 * 18  # 500 bytes, and the batch and anchor that pass them
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_reads_candidates_where_their_texts_lie(corpus, pairs_of, monkeypatch):
+    from basalt.llm import scratch
+
+    plans, save = [], scratch.Scratch.save
+    monkeypatch.setattr(scratch.Scratch, "save", lambda self, df, name="t": plans.append((name, plan_of(df))) or save(self, df, name))
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)  # as on a large table
+    got = sorted((tuple(r)[:3] for r in jaccard.jaccard_components(corpus).collect()), key=str)
+    assert got == brute_components(pairs_of)
+    assert "Exchange" not in next(plan for name, plan in plans if name == "sets")
