@@ -296,3 +296,28 @@ def test_join_reads_candidates_where_their_texts_lie(corpus, pairs_of, monkeypat
     got = sorted((tuple(r)[:3] for r in jaccard.jaccard_components(corpus).collect()), key=str)
     assert got == brute_components(pairs_of)
     assert "Exchange" not in next(plan for name, plan in plans if name == "sets")
+
+
+def test_one_per_group_moves_no_text(corpus, pairs_of, monkeypatch):
+    once = corpus.filter("doc_id is not null and doc_id <> 3")
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    kept = jaccard.one_per_group(once)
+    assert "Exchange" not in plan_of(kept)
+    want = sorted(d for d, n, c in brute_components([x for x in pairs_of if x[0] not in (None, 3)]) if d == c)
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert kept.columns == corpus.columns and kept.filter(~F.col("text").eqNullSafe(F.col("text"))).isEmpty()
+
+
+def test_one_per_group_by_either_set_of_ids(spark, corpus, words, monkeypatch):
+    from basalt.llm import idset
+
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    copies = spark.createDataFrame([(i, " ".join(words[:50] if i < 30 else words[80 * i : 80 * i + 50])) for i in range(36)], "doc_id long, text string")
+    few = jaccard.one_per_group(copies)  # more rows go than stay
+    assert sorted(r.doc_id for r in few.collect()) == [0, *range(30, 36)]
+    there, mixed = rows(jaccard.one_per_group(corpus)), corpus.select(F.lit(1).cast("long").alias("doc_id"), "text", "lang")
+    one_id = rows(jaccard.one_per_group(mixed).select("text"))  # every id repeats
+    monkeypatch.setattr(idset, "MOST", 0)
+    assert rows(jaccard.one_per_group(corpus)) == there
+    assert rows(jaccard.one_per_group(mixed).select("text")) == one_id
+    assert rows(jaccard.one_per_group(copies)) == rows(few)
