@@ -17,14 +17,18 @@ def coerce(df: DataFrame, longs: tuple[str, ...] = (), doubles: tuple[str, ...]
 def flag(df: DataFrame, invoice: str = "invoice", quantity: str = "quantity", price: str = "price", customer: str = "customer") -> DataFrame:
     """Add revenue and the flags is_cancelled, is_writeoff, is_valid_price, has_customer, is_revenue_safe.
 
-    A NULL in a comparison counts as false.
+    A NULL in a comparison counts as false. A quantity in DOUBLE is rounded as the number it is, as SQL
+    does, not as its shortest decimal: 1.005 is below the half.
     """
+    units = F.col(quantity)
+    if df.schema[quantity].dataType.typeName() == "double":
+        units = F.round(units * 100) / 100
     no = F.lit(False)
     cancelled = F.coalesce(F.col(invoice).cast("string").startswith("C"), no)
     negative = F.coalesce(F.col(quantity) < 0, no)
     positive = F.coalesce(F.col(quantity) > 0, no)
     priced = F.coalesce(F.col(price) > 0, no)
-    out = df.withColumn("revenue", F.round(money(F.col(quantity)) * money(F.col(price)), 2))
+    out = df.withColumn("revenue", F.round(money(units) * money(F.col(price)), 2))
     return out.withColumns({
         "is_cancelled": cancelled,
         "is_writeoff": negative & ~cancelled,

@@ -22,13 +22,14 @@ def _bin(value: Column, bins: int) -> Column:
 
 def _bounded(df: DataFrame, value: str) -> DataFrame:
     b = df.agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
-    b = b.withColumn("__hi", F.when(F.col("__hi") == F.col("__lo"), F.col("__lo") + 1).otherwise(F.col("__hi")))
+    b = b.withColumn("__flat", F.col("__hi") == F.col("__lo")).withColumn("__hi", F.when(F.col("__flat"), F.col("__lo") + 1).otherwise(F.col("__hi")))
     return df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(b))  # one row
 
 
-def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """(bin, n) of the bins that hold values."""
-    return _bounded(df, value).groupBy(_bin(F.col(value), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def histogram(df: DataFrame, value: str, bins: int, flat: int = 0) -> DataFrame:
+    """(bin, n) of the bins that hold values; equal values, which have no width, are in bin ``flat``."""
+    at = F.when(F.col("__flat"), F.lit(flat)).otherwise(_bin(F.col(value), bins))
+    return _bounded(df, value).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ridgeline(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
